@@ -401,6 +401,7 @@ SQL["merge_reports"] = """select class_name as fault_type, """ + ", ".join(
     f"max({v}) filter (model = '{m}') as {m}_{v}"
     for m in ("near", "drift") for v in ("f1", "precision", "recall")) + """
 from fault_report where class_name in (select class_name from fault_vocab) group by class_name"""
+SQL["metrics_csv"] = SQL["merge_reports"]
 SQL["fold_expand"] = """select p.*, s.loc_id as test_loc_id from plain_reg p
 cross join (select distinct loc_id from sites) s"""
 SQL["fault_counts"] = """

@@ -49,15 +49,17 @@ def dc_ac_power_ratio(df: DataFrame) -> DataFrame:
 
 
 def rolling_features(df: DataFrame, lookback: int = LOOKBACK,
-                     rows_per_slice: int | None = None) -> DataFrame:
+                     rows_per_slice: int | None = None,
+                     restart: Sequence[str] = ()) -> DataFrame:
     """``pr_deviation`` and ``power_step`` over the last ``lookback`` rows of each file.
 
     One shuffle on (file, slice) serves both; an oversized file is cut along its own
     order and each piece carries the preceding rows its first frames look back on.
+    The state starts afresh wherever a column in ``restart`` differs.
     """
     order = file_order(df)
     ordinal = F.col("row_index") if order == ["row_index"] else time_ordinal("timestamp")
-    sliced = slice_rows(df, ["source_file"], ordinal, reach=lookback,
+    sliced = slice_rows(df, ["source_file", *restart], ordinal, reach=lookback,
                         rows_per_slice=rows_per_slice)
     by_time = sliced.window(*order)
     frame = by_time.rowsBetween(-(lookback - 1), 0)
@@ -76,11 +78,12 @@ def rolling_features(df: DataFrame, lookback: int = LOOKBACK,
 
 
 def add_features(df: DataFrame, array_kwp: float | None, threshold: float = POA_THRESHOLD,
-                 lookback: int = LOOKBACK, rows_per_slice: int | None = None) -> DataFrame:
+                 lookback: int = LOOKBACK, rows_per_slice: int | None = None,
+                 restart: Sequence[str] = ()) -> DataFrame:
     """All engineered features over the daytime rows.  Filter years before calling."""
     day = daytime_filter(df, threshold)
     row_wise = dc_ac_power_ratio(performance_ratio(time_features(day), array_kwp))
-    return rolling_features(row_wise, lookback, rows_per_slice)
+    return rolling_features(row_wise, lookback, rows_per_slice, restart)
 
 
 def feature_columns(df: DataFrame, names: Sequence[str]) -> tuple[list[str], list[str]]:

@@ -1,4 +1,4 @@
-"""Session settings and small helpers for cutting lineage."""
+"""Session settings and helpers for cutting lineage."""
 
 from __future__ import annotations
 
@@ -35,9 +35,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise a table that several jobs read, on storage that outlives executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table that several jobs read, and read it back.
+
+    The table lies in the shared folder, so it outlives executors, and readers prune its
+    columns.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

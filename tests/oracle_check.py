@@ -66,7 +66,7 @@ def main(argv: list[str]) -> int:
             got = query(spark, sf_dir).toPandas()
             took = time.time() - start
             if name not in sql:
-                print(f"rows  {name}: {len(got)} rows {took:.1f}s", flush=True)
+                print(f"rows  {name}: {len(got)} rows {took:.1f}s\n{got.head(6)}", flush=True)
                 continue
             problem = difference(got, con.execute(sql[name]).df())
         except Exception as error:  # noqa: BLE001
