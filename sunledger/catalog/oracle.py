@@ -344,7 +344,7 @@ SQL["known_class_filter"] = f"""select {B}, fault_type from tele
 where fault_active and fault_type in (select fault_type from partial)"""
 SQL["unseen_class_counts"] = """select fault_type, count(*) as n_dropped from tele
 where fault_active and fault_type not in (select fault_type from partial) group by fault_type"""
-SQL["constant_columns"] = 'select * from flat where n_values <= 1'
+SQL["constant_columns"] = 'select "column" from flat where n_values <= 1'
 SQL["classify_columns"] = "select * from roles"
 SQL["load_columns"] = """select "column" from roles
 where included or category in ('meta', 'label')"""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sunledger.operators.skew import (
-    HALO, broadcast_checked, counted, prefix_sum, slice_rows, slice_totals, time_ordinal)
+    HALO, counted, prefix_sum, slice_rows, slice_totals, time_ordinal)
 from sunledger.sources.telemetry import time_order
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -196,21 +196,22 @@ def head_tail_sample(rows: DataFrame, order: Sequence[str], n: int = 1000) -> Da
     return head.unionByName(tail)
 
 
-def distinct_value_counts(sample: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``(column, n_values)`` with NULL counted as a value."""
-    one = sample.agg(*[
-        (F.countDistinct(c) + F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0)))
-        .alias(c) for c in names])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_values"))
-                      for c in names])
-    return one.select(F.explode(cells).alias("_c")).select("_c.*")
-
-
 def constant_columns(rows: DataFrame, names: Sequence[str], order: Sequence[str],
                      n: int | None = 1000) -> DataFrame:
-    """Columns with at most one value in the first and last ``n`` rows (all rows if None)."""
+    """Columns with at most one value (NULL counts as one) in the first and last ``n`` rows.
+
+    ``n=None`` looks at every row.  One aggregate of minima, maxima and NULL counts; maps
+    have no order and are never reported.
+    """
     sample = head_tail_sample(rows, order, n).drop("part") if n else rows
-    return distinct_value_counts(sample, names).where("n_values <= 1")
+    names = [c for c in names if not isinstance(rows.schema[c].dataType, T.MapType)]
+    flat = {c: F.when(F.count(c) == 0, True)
+            .otherwise((F.count(c) == F.count(F.lit(1))) & F.min(c).eqNullSafe(F.max(c)))
+            for c in names}
+    one = sample.agg(*[value.alias(c) for c, value in flat.items()])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("_flat"))
+                      for c in names])
+    return one.select(F.explode(cells).alias("_c")).where("_c._flat").select("_c.column")
 
 
 def estimate_capacity(rows: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ DETECTION, CLASSIFICATION = "fault_active", "fault_type"
 DETECTION_CLASSES = ("Healthy", "Faulted")
 HIDDEN = (64, 64, 64)
 SEED = 42
+COPY_BLOCK = 1000
 
 
 # --- estimators ----------------------------------------------------------------------------
@@ -110,11 +111,15 @@ def balance(rows: DataFrame, key: Sequence[str], seed: int = SEED) -> DataFrame:
     ratio = sizes.crossJoin(F.broadcast(sizes.agg(F.max("_n").alias("_top")))).select(
         F.col("label").alias("_label"), (F.col("_top") / F.col("_n")).alias("_copies"))
     part = hash_ordinal("_digest") < F.col("_copies") - F.floor("_copies")
-    n = (F.floor("_copies") + part.cast("int")).cast("int")
+    n = F.floor("_copies") + part.cast("long")
+    # in two steps, so that a very rare class needs no array of its many copies
+    blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPY_BLOCK}"))
+    left = F.least(F.col("_n") - F.col("_block") * COPY_BLOCK, F.lit(COPY_BLOCK)).cast("int")
     return (rows.withColumn("_digest", seeded_digest(seed, *key))
             .join(broadcast_checked(ratio), F.col("label") == F.col("_label"))
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n)))
-            .drop("_copy", "_digest", "_label", "_copies"))
+            .withColumn("_n", n).withColumn("_block", F.explode(blocks))
+            .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), left)))
+            .drop("_copy", "_block", "_n", "_digest", "_label", "_copies"))
 
 
 def assembler(names: Sequence[str]) -> VectorAssembler:
@@ -212,12 +217,13 @@ def batched_forest(train: DataFrame, test: DataFrame, entries: DataFrame, names:
     weights = settle(S.balanced_weights(counts, task.classes().select("label")))
 
     # a cycled file may fill several slots of a batch: once per slot, as listed
+    parts = settle(train.join(broadcast_checked(batches.select("source_file", "batch")),
+                              "source_file"), by="batch")
     models = []
     for number, trees in enumerate(per_batch):
         if trees <= 0:
             continue
-        files = batches.where(F.col("batch") == number).select("source_file")
-        part = train.join(broadcast_checked(files), "source_file")
+        part = parts.where(F.col("batch") == number)
         if rows_per_batch:
             part = S.stratified_subsample(part, rows_per_batch, "fault_type")
         part = weigh(task_matrix(part, present), weights)
@@ -354,11 +360,13 @@ def run_task(features: DataFrame, registry: DataFrame, target: str, names: Seque
     tabular = [m for m in modes if m in TABULAR]
     params = tabular_params or {}
     if tabular:
-        test = settle(task.label_rows(cap_rows(sides["test"], max_test_rows)))
+        test = task.label_rows(cap_rows(sides["test"], max_test_rows))
         train_rows = S.thin_majority(sides["train"], majority_thin_factor)
         if not rows_per_batch:
             train_rows = cap_rows(train_rows, max_train_rows)
-        train = settle(task.label_rows(train_rows))
+        train = task.label_rows(train_rows)
+        if majority_thin_factor > 1 or max_train_rows:
+            train = settle(train)  # the fit reads it several times
         if test.limit(1).count() and train.limit(1).count():
             for mode in tabular:
                 settings = params.get(mode, {})

@@ -34,15 +34,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sunledger-checkpoint-"))
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a table that several jobs read, and read it back.
 
     The table lies in the shared folder, so it outlives executors, and readers prune its
-    columns.
+    columns.  With ``by`` it is laid out in one folder per value, large values in several
+    files, so that a reader of one value scans only that.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    df.write.parquet(path)
+    if by:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
