@@ -18,6 +18,7 @@ after it has been counted.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,10 +26,11 @@ from sunledger.session import settle
 
 ROWS_PER_SLICE = 2_000_000
 CELLS_PER_SLICE = 32
-MAX_CELLS_PER_SLICE = 32 ** 3
+MAX_LEVELS = 4
 BROADCAST_ROWS = 500_000
 
 SLICE, BASE, HALO = "_slice", "_base", "_halo"
+WHOLE = -9  # a row or cell that is not divided at this level
 _HASH_DIGITS = 12
 
 
@@ -78,6 +80,10 @@ def slice_rows(df: DataFrame, group: list[str], ordinal: Column, reach: int = 0,
                rows_per_slice: int | None = None) -> Sliced:
     """Cut oversized groups along ``ordinal``, a number monotone in the sort order.
 
+    The range of an oversized group is divided into equal-width cells; a cell that is still
+    too full is divided again between its own first and last value, so bursts are cut as
+    well as even series.  Rows with equal ordinal stay together.
+
     With ``reach`` > 0 every slice also receives (at least) the ``reach`` rows that
     precede it, flagged ``_halo``, so a frame of up to ``reach`` preceding rows gives the
     same value as over the whole group.
@@ -93,39 +99,52 @@ def slice_rows(df: DataFrame, group: list[str], ordinal: Column, reach: int = 0,
                  .withColumn(HALO, F.lit(False)))
         return Sliced(plain, group, False)
 
-    hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-    factor = CELLS_PER_SLICE
-    while True:
-        cell = _cell(target, factor)
-        counts, _ = counted(keyed.join(hot, group).withColumn("_cell", cell)
-                            .groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_rows")))
-        fullest = counts.agg(F.max("_rows")).first()[0]
-        if fullest <= target or factor >= MAX_CELLS_PER_SLICE:
+    rows, levels, leaves = keyed, [], []
+    bounds, n_bounds, parents = hot, n_hot, list(group)
+    for level in range(1, MAX_LEVELS + 1):
+        cell = f"_c{level}"
+        hinted = F.broadcast(bounds) if n_bounds <= BROADCAST_ROWS else bounds
+        rows = (rows.join(hinted, parents, "left")
+                .withColumn(cell, F.coalesce(_cell(target), F.lit(WHOLE)))
+                .drop("_n", "_lo", "_hi"))
+        levels, parents = [*levels, cell], [*parents, cell]
+        counts, _ = counted(rows.where(F.col(cell) != WHOLE).groupBy(*parents).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_ord").alias("_lo"), F.max("_ord").alias("_hi")))
+        crowded = F.coalesce((F.col("_n") > target) & (F.col("_hi") > F.col("_lo")), F.lit(False))
+        bounds = counts.where(crowded)
+        n_bounds = 0 if level == MAX_LEVELS else bounds.count()
+        if n_bounds == 0:
+            leaves.append(counts)
             break
-        counts.unpersist()
-        factor *= 32
-
-    cells = broadcast_checked(_pack_cells(counts, group, target, reach))
-    rows = (keyed.join(hot, group, "left").withColumn("_cell", cell)
-            .join(cells, [*group, "_cell"], "left")
-            .select(*[F.col(c) for c in df.columns],
-                    F.coalesce(SLICE, F.lit(0)).alias(SLICE),
-                    F.coalesce(BASE, F.lit(0)).alias(BASE),
-                    F.coalesce(HALO, F.lit(False)).alias(HALO)))
-    return Sliced(rows, group, True)
-
-
-def _cell(target: int, factor: int) -> Column:
-    """Equal-width cell of a row in its oversized group; rows without ordinal come first."""
-    n_cells = F.ceil(F.col("_n") / F.lit(float(target))) * F.lit(factor)
+        leaves.append(counts.where(~crowded))
+
+    every = [leaf.select(*group, *[F.col(c) if c in leaf.columns else F.lit(WHOLE).alias(c)
+                                   for c in levels], F.col("_n").alias("_rows"))
+             for leaf in leaves]
+    packed = _pack_cells(reduce(DataFrame.unionByName, every), group, levels, target, reach)
+    placed = (rows.join(broadcast_checked(packed), [*group, *levels], "left")
+              .select(*[F.col(c) for c in df.columns],
+                      F.coalesce(SLICE, F.lit(0)).alias(SLICE),
+                      F.coalesce(BASE, F.lit(0)).alias(BASE),
+                      F.coalesce(HALO, F.lit(False)).alias(HALO)))
+    return Sliced(placed, group, True)
+
+
+def _cell(target: int) -> Column:
+    """Equal-width cell inside the bounds of a crowded range; NULL outside such ranges.
+
+    Rows without ordinal come first.
+    """
+    n_cells = F.ceil(F.col("_n") / F.lit(float(target))) * F.lit(CELLS_PER_SLICE)
     share = (F.col("_ord") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     inside = F.least(F.floor(share * n_cells), n_cells - 1)
     return F.when(F.col("_n").isNotNull(), F.coalesce(inside, F.lit(-1).cast("long")))
 
 
-def _pack_cells(counts: DataFrame, group: list[str], target: int, reach: int) -> DataFrame:
+def _pack_cells(counts: DataFrame, group: list[str], levels: list[str], target: int,
+                reach: int) -> DataFrame:
     """Merge neighbouring cells into slices; one row per (cell, slice that reads it)."""
-    along = Window.partitionBy(*group).orderBy("_cell")
+    along = Window.partitionBy(*group).orderBy(*levels)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     later = along.rowsBetween(1, Window.unboundedFollowing)
@@ -149,7 +168,7 @@ def _pack_cells(counts: DataFrame, group: list[str], target: int, reach: int) ->
             .withColumn(SLICE, F.col(SLICE) + F.col("_step"))
             .withColumn(HALO, F.col("_step") == 1)
             .withColumn(BASE, F.min("_before").over(Window.partitionBy(*group, SLICE)))
-            .select(*group, "_cell", SLICE, BASE, HALO))
+            .select(*group, *levels, SLICE, BASE, HALO))
 
 
 def with_position(df: DataFrame, group: list[str], order: list, ordinal: Column,
