@@ -119,7 +119,20 @@ def scan_batch(spark: SparkSession, data_dir: str, columns: Sequence[str] | None
                          F.col("_metadata.row_index").alias("row_index"))
     if location_filter:
         frame = frame.where(F.col("source_file").contains(location_filter))
-    return downcast(year_filter(frame, years))
+    return downcast(wall_clock(year_filter(frame, years)))
+
+
+def wall_clock(df: DataFrame, name: str = "timestamp") -> DataFrame:
+    """Timestamps written as nanoseconds or as text, read as wall-clock times."""
+    if name not in df.columns:
+        return df
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.LongType):
+        micros = F.timestamp_micros(F.expr(f"`{name}` div 1000"))
+        return df.withColumn(name, micros.cast("timestamp_ntz"))
+    if isinstance(kind, (T.StringType, T.TimestampType)):
+        return df.withColumn(name, F.col(name).cast("timestamp_ntz"))
+    return df
 
 
 def year_filter(df: DataFrame, years: Sequence[int] | None) -> DataFrame:

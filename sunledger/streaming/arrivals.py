@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sunledger.operators.features import LOOKBACK, POA_THRESHOLD, add_features
-from sunledger.sources.telemetry import downcast
+from sunledger.sources.telemetry import downcast, wall_clock
 
 
 def read_arrivals(spark: SparkSession, data_dir: str, schema: T.StructType,
@@ -28,7 +28,7 @@ def feature_stream(stream: DataFrame, array_kwp: float | None, sink: Callable, c
                    threshold: float = POA_THRESHOLD, lookback: int = LOOKBACK) -> StreamingQuery:
     """Feature every micro-batch of whole files and pass it to ``sink(df, batch_id)``."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        sink(add_features(downcast(batch), array_kwp, threshold, lookback), batch_id)
+        sink(add_features(downcast(wall_clock(batch)), array_kwp, threshold, lookback), batch_id)
 
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
