@@ -87,14 +87,27 @@ def importance_top(spark, sf):
     return M.importance_top(P.importances(result), C.feature_groups(Q.classify_columns(spark, sf)))
 
 
-def saved_model(spark, sf):
-    """Predictions of a model after a trip through storage."""
+def _stored(spark, sf) -> tuple[P.TaskResult, str]:
+    """A fitted task, and the path of its model on storage."""
     result = _run(spark, sf)
     fitted = result.models["random_forest"]
-    path = MF.save_model(fitted.model, scratch_path(spark, "model"), fitted.feature_names,
-                         result.class_names)
-    files = settle(I.registry(spark, sf))
-    listing = MF.save_manifest(files, scratch_path(spark, "manifest"),
+    return result, MF.save_model(fitted.model, scratch_path(spark, "model"),
+                                 fitted.feature_names, result.class_names)
+
+
+def save_load_model(spark, sf):
+    """Feature importances of a model after a trip through storage."""
+    _, path = _stored(spark, sf)
+    model, names, _ = MF.load_model(path)
+    vector = model.stages[-1].featureImportances.toArray()
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, vector)],
+                                 "feature string, importance double")
+
+
+def evaluate_saved(spark, sf):
+    """AUC of a stored model on the test files its manifest lists."""
+    _, path = _stored(spark, sf)
+    listing = MF.save_manifest(I.registry(spark, sf), scratch_path(spark, "manifest"),
                                {P.DETECTION: {"random_forest": path}}, {"seed": 42})
     table = I.settled_features(spark, sf, extended=True)
     return _aucs(ST.evaluate_saved(table, listing, P.DETECTION))
@@ -104,7 +117,7 @@ def compare_models(spark, sf):
     return ST.compare_models([_run(spark, sf), _run(spark, sf, P.CLASSIFICATION)])
 
 
-def metrics_csv(spark, sf):
+def write_metrics_csv(spark, sf):
     """Per-class rates written as CSV and read back."""
     table = Q.merge_reports(spark, sf)
     path = MF.write_metrics_csv(table, scratch_path(spark, "metrics"))
@@ -131,5 +144,5 @@ def ablation_study(spark, sf):
 
 MODEL_QUERIES = {f.__name__: f for f in (
     random_forest, score_model, deployment_model, batched_forest, mlp_last_step,
-    window_summary_classifier, run_task, custom_runners, importance_top, saved_model,
-    compare_models, metrics_csv, temporal_split_study, cross_location_study, ablation_study)}
+    window_summary_classifier, run_task, custom_runners, importance_top, save_load_model, evaluate_saved,
+    compare_models, write_metrics_csv, temporal_split_study, cross_location_study, ablation_study)}

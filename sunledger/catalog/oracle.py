@@ -334,7 +334,7 @@ SQL["discover_sites"] = """select distinct round(latitude, 2) as latitude,
   round(longitude, 2) as longitude, concat_ws('_', cast(round(latitude, 2) as varchar),
   cast(round(longitude, 2) as varchar)) as site from tele"""
 SQL["file_row_counts"] = "select source_file, count(*) as n_rows from tele group by source_file"
-SQL["manifest_round_trip"] = "select *, count(*) over () as n_entries from reg"
+SQL["save_load_manifest"] = "select *, count(*) over () as n_entries from reg"
 SQL["daytime_filter"] = f"select {B}, poa_global_wm2 from day"
 SQL["year_filter"] = f"""select {B}, sim_year, split from tele join reg using (source_file)
 where split = 'val' or (split = 'train' and sim_year in (1, 2)) or (split = 'test' and sim_year = 3)"""
@@ -342,7 +342,7 @@ SQL["faulted_only"] = f"select {B}, fault_type from tele where fault_active"
 SQL["drop_healthy_files"] = "select * from plain_reg where file_fault_type <> 'none'"
 SQL["known_class_filter"] = f"""select {B}, fault_type from tele
 where fault_active and fault_type in (select fault_type from partial)"""
-SQL["unseen_class_counts"] = """select fault_type, count(*) as n_dropped from tele
+SQL["unseen"] = """select fault_type, count(*) as n_dropped from tele
 where fault_active and fault_type not in (select fault_type from partial) group by fault_type"""
 SQL["constant_columns"] = 'select "column" from flat where n_values <= 1'
 SQL["classify_columns"] = "select * from roles"
@@ -359,7 +359,9 @@ SQL["batch_summary"] = """select
   cast(count(*) filter (category = 'iv_curve') as int) as n_iv_curve,
   cast(count(*) filter (category = 'stress') as int) as n_stress,
   cast(count(*) filter (included) as int) as n_features from roles"""
-SQL["parse_file_names"] = """select source_file, stem, run_id, file_fault_type
+SQL["schema_file_pick"] = "select distinct source_file from schema_rows"
+SQL["parse_file_fault_type"] = "select source_file, file_fault_type from plain_reg"
+SQL["parse_run_id"] = """select source_file, stem, run_id
 from names join plain_reg using (source_file)"""
 SQL["loc_id"] = """select distinct latitude, longitude, concat_ws('_',
   cast(round(latitude, 2) as varchar), cast(round(longitude, 2) as varchar)) as loc_id from tele"""
@@ -401,7 +403,7 @@ SQL["merge_reports"] = """select class_name as fault_type, """ + ", ".join(
     f"max({v}) filter (model = '{m}') as {m}_{v}"
     for m in ("near", "drift") for v in ("f1", "precision", "recall")) + """
 from fault_report where class_name in (select class_name from fault_vocab) group by class_name"""
-SQL["metrics_csv"] = SQL["merge_reports"]
+SQL["write_metrics_csv"] = SQL["merge_reports"]
 SQL["fold_expand"] = """select p.*, s.loc_id as test_loc_id from plain_reg p
 cross join (select distinct loc_id from sites) s"""
 SQL["fault_counts"] = """

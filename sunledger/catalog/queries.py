@@ -17,7 +17,7 @@ from sunledger.operators import stats as X
 from sunledger.session import scratch_path, settle
 from sunledger.sources import config as B
 from sunledger.sources import manifest as MF
-from sunledger.sources.telemetry import downcast, year_filter
+from sunledger.sources.telemetry import downcast, pick_schema_file, year_filter
 
 BASE = ["source_file", "event_id"]
 DIGITS = 9
@@ -46,7 +46,11 @@ def file_row_counts(spark, sf):
     return X.file_row_counts(I.rows(spark, sf))
 
 
-def manifest_round_trip(spark, sf):
+def schema_file_pick(spark, sf):
+    return pick_schema_file(I.rows(spark, sf).select("source_file").distinct())
+
+
+def save_load_manifest(spark, sf):
     return MF.manifest_round_trip(I.registry(spark, sf), scratch_path(spark, "manifest"))
 
 
@@ -76,7 +80,7 @@ def known_class_filter(spark, sf):
     return S.known_rows(faulted, I.partial_labels(spark, sf)).select(*BASE, "fault_type")
 
 
-def unseen_class_counts(spark, sf):
+def unseen(spark, sf):
     faulted = S.faulted_only(I.rows(spark, sf))
     return S.unseen_counts(faulted, I.partial_labels(spark, sf))
 
@@ -112,11 +116,16 @@ def batch_summary(spark, sf):
     return B.batch_summary(discover_sites(spark, sf), lists, F.lit(capacity))
 
 
-def parse_file_names(spark, sf):
+def parse_file_fault_type_of_names(spark, sf):
+    name = F.col("source_file")
+    return I.rows(spark, sf).select("source_file").distinct().select(
+        "source_file", parse_file_fault_type(name).alias("file_fault_type"))
+
+
+def parse_run_id_of_names(spark, sf):
     name = F.col("source_file")
     return I.rows(spark, sf).select("source_file").distinct().select(
-        "source_file", file_stem(name).alias("stem"), parse_run_id(name).alias("run_id"),
-        parse_file_fault_type(name).alias("file_fault_type"))
+        "source_file", file_stem(name).alias("stem"), parse_run_id(name).alias("run_id"))
 
 
 def loc_ids(spark, sf):
@@ -530,10 +539,10 @@ def split_leak_check(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_batch, load_entry, discover_sites, file_row_counts, manifest_round_trip,
-    daytime_filter, faulted_only, drop_healthy_files, known_class_filter, unseen_class_counts,
+    scan_batch, load_entry, discover_sites, file_row_counts, save_load_manifest, schema_file_pick,
+    daytime_filter, faulted_only, drop_healthy_files, known_class_filter, unseen,
     constant_columns, classify_columns, load_columns, feature_set, estimate_capacity,
-    batch_summary, parse_file_names, clean_matrix, time_features, performance_ratio,
+    batch_summary, clean_matrix, time_features, performance_ratio,
     performance_ratio_no_capacity, dc_ac_power_ratio, pr_deviation, power_step,
     rows_with_split, encode_labels, decode_labels, site_name, feature_group, merge_reports,
     fold_expand, fault_counts, fault_prevalence, year_fault_rate, yearly_features,
@@ -550,4 +559,6 @@ QUERIES = {f.__name__: f for f in (
     location_folds, split_leak_check)}
 QUERIES["year_filter"] = year_filter_rows
 QUERIES["loc_id"] = loc_ids
+QUERIES["parse_file_fault_type"] = parse_file_fault_type_of_names
+QUERIES["parse_run_id"] = parse_run_id_of_names
 QUERIES["downcast"] = downcast_rows

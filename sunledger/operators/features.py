@@ -19,8 +19,8 @@ ENGINEERED = ("hour_sin", "hour_cos", "doy_sin", "doy_cos", "performance_ratio",
 
 def daytime_filter(df: DataFrame, threshold: float = POA_THRESHOLD) -> DataFrame:
     """Keep rows strictly above the irradiance threshold; NULL and NaN are dropped."""
-    poa = F.col("poa_global_wm2")
-    return df.where((poa > F.lit(threshold)) & ~F.isnan(poa))
+    known = F.nanvl("poa_global_wm2", F.lit(None).cast("float"))
+    return df.where(known > F.lit(threshold))
 
 
 def time_features(df: DataFrame) -> DataFrame:

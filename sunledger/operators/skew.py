@@ -48,6 +48,14 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
     return kept, kept.count()
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str],
+                how: str = "inner") -> DataFrame:
+    """Equi-join on group columns in which NULL is a group of its own."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    match = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys])
+    return left.join(renamed, match, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def time_ordinal(column: str) -> Column:
     """Microseconds since the epoch; monotone in the timestamp (session zone is UTC)."""
     return F.unix_micros(F.col(column).cast("timestamp"))
@@ -104,7 +112,7 @@ def slice_rows(df: DataFrame, group: list[str], ordinal: Column, reach: int = 0,
     for level in range(1, MAX_LEVELS + 1):
         cell = f"_c{level}"
         hinted = F.broadcast(bounds) if n_bounds <= BROADCAST_ROWS else bounds
-        rows = (rows.join(hinted, parents, "left")
+        rows = (join_groups(rows, hinted, parents, "left")
                 .withColumn(cell, F.coalesce(_cell(target), F.lit(WHOLE)))
                 .drop("_n", "_lo", "_hi"))
         levels, parents = [*levels, cell], [*parents, cell]
@@ -122,7 +130,7 @@ def slice_rows(df: DataFrame, group: list[str], ordinal: Column, reach: int = 0,
                                    for c in levels], F.col("_n").alias("_rows"))
              for leaf in leaves]
     packed = _pack_cells(reduce(DataFrame.unionByName, every), group, levels, target, reach)
-    placed = (rows.join(broadcast_checked(packed), [*group, *levels], "left")
+    placed = (join_groups(rows, broadcast_checked(packed), [*group, *levels], "left")
               .select(*[F.col(c) for c in df.columns],
                       F.coalesce(SLICE, F.lit(0)).alias(SLICE),
                       F.coalesce(BASE, F.lit(0)).alias(BASE),
@@ -199,7 +207,7 @@ def slice_totals(sliced: Sliced, rows: DataFrame, order: list, value: str,
              .rowsBetween(Window.unboundedPreceding, -1))
     carried = per_slice.select(
         *sliced.group, SLICE, F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_carry"))
-    return (summed.join(broadcast_checked(carried), [*sliced.group, SLICE], "left")
+    return (join_groups(summed, broadcast_checked(carried), [*sliced.group, SLICE], "left")
             .withColumn(out, F.col(out) + F.col("_carry")).drop("_carry"))
 
 
@@ -216,9 +224,8 @@ def take_smallest_hash(df: DataFrame, group: list[str], digest: Column, quotas:
               .select(*group, F.col("quota").alias("_quota"),
                       F.ceil(F.col("n") / F.lit(float(target))).cast("long").alias("_cells")))
     limits, n_groups = counted(limits)
-    small = n_groups <= BROADCAST_ROWS
-    hinted = F.broadcast(limits) if small else limits
-    rows = (df.withColumn("_digest", digest).join(hinted, group)
+    hinted = F.broadcast(limits) if n_groups <= BROADCAST_ROWS else limits
+    rows = (join_groups(df.withColumn("_digest", digest), hinted, group)
             .withColumn("_cell", F.floor(hash_ordinal("_digest") * F.col("_cells"))))
 
     if limits.where(F.col("_cells") > 1).limit(1).count():
@@ -232,7 +239,7 @@ def take_smallest_hash(df: DataFrame, group: list[str], digest: Column, quotas:
                         & (F.col("_before") + F.col("_rows") >= F.col("_quota")))
                  .select(*group, F.col("_cell").alias("_edge"),
                          (F.col("_quota") - F.col("_before")).alias("_need")))
-        rows = (rows.join(broadcast_checked(edges), group, "left")
+        rows = (join_groups(rows, broadcast_checked(edges), group, "left")
                 .withColumn("_edge", F.coalesce("_edge", F.lit(0)))
                 .withColumn("_need", F.coalesce("_need", F.col("_quota")))
                 .where(F.col("_cell") <= F.col("_edge")))

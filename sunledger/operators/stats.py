@@ -17,9 +17,9 @@ QUANTILE_CELLS = 4096
 def fault_counts(rows: DataFrame) -> DataFrame:
     """Value counts of ``fault_active``, and of ``fault_type`` among faulted rows."""
     both = rows.groupBy("fault_active", "fault_type").agg(F.count(F.lit(1)).alias("n"))
-    active = (both.groupBy(F.col("fault_active").cast("string").alias("value"))
+    active = (both.where("fault_active is not null").groupBy(F.col("fault_active").cast("string").alias("value"))
               .agg(F.sum("n").alias("n")).withColumn("kind", F.lit("fault_active")))
-    kinds = (both.where("fault_active").groupBy(F.col("fault_type").alias("value"))
+    kinds = (both.where("fault_active and fault_type is not null").groupBy(F.col("fault_type").alias("value"))
              .agg(F.sum("n").alias("n")).withColumn("kind", F.lit("fault_type")))
     return (active.unionByName(kinds).select("kind", "value", "n")
             .orderBy("kind", F.desc("n"), "value"))

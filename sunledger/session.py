@@ -32,7 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
-    shared = sc.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sunledger-checkpoint-"))
 
 

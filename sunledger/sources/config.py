@@ -11,7 +11,8 @@ from sunledger.functions.columns import category_lists, classify_columns, featur
 from sunledger.functions.expressions import loc_id
 from sunledger.operators.registry import first_row_per_file
 from sunledger.operators.stats import constant_columns, estimate_capacity
-from sunledger.sources.telemetry import file_order, scan_batch, schema_file
+from sunledger.sources.telemetry import (
+    RUN_PATTERNS, batch_pattern, file_order, scan_batch, schema_file)
 
 CONFIG_SCHEMA = (
     "installation_fixed struct<array_power_kWp: double, system_area_m2: double>, "
@@ -67,6 +68,7 @@ class Batch:
 
     spark: SparkSession
     data_dir: str
+    pattern: str = "*_noisy.parquet"
     array_kwp: float | None = None
     columns: dict[str, list[str]] = field(default_factory=dict)
     sites: DataFrame | None = None
@@ -78,7 +80,7 @@ class Batch:
         names = sample.columns
         sample = scan_batch(spark, data_dir, pattern=first["source_file"])
         constants = constant_columns(sample, names, file_order(sample))
-        batch = cls(spark, data_dir,
+        batch = cls(spark, data_dir, batch_pattern(spark, data_dir, (*RUN_PATTERNS, "*.parquet")),
                     columns=category_lists(classify_columns(sample.select(*names), constants)))
         has_config = spark.read.format("binaryFile").option(
             "pathGlobFilter", "batch_config.json").load(data_dir).select("path").limit(1).count()

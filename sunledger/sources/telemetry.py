@@ -74,34 +74,35 @@ def list_files(spark: SparkSession, data_dir: str, pattern: str = "*.parquet") -
                     F.col("length").alias("bytes")))
 
 
+RUN_PATTERNS = ("*_noisy.parquet", "*_clean.parquet")
+
+
 def list_batch_files(spark: SparkSession, data_dir: str,
                      location_filter: str | None = None) -> DataFrame:
     """The noisy files of a batch, else the clean ones; neither is an error."""
-    return _first_pattern(spark, data_dir, ("*_noisy.parquet", "*_clean.parquet"),
-                          location_filter)
+    files = list_files(spark, data_dir, batch_pattern(spark, data_dir))
+    return files.where(F.col("source_file").contains(location_filter)) if location_filter else files
+
+
+def batch_pattern(spark: SparkSession, data_dir: str,
+                  patterns: Sequence[str] = RUN_PATTERNS) -> str:
+    """The first file pattern that matches anything."""
+    for pattern in patterns:
+        if list_files(spark, data_dir, pattern).limit(1).count():
+            return pattern
+    raise FileNotFoundError(f"No parquet files in {data_dir}")
 
 
 def schema_file(spark: SparkSession, data_dir: str) -> DataFrame:
     """The one file that decides the schema: first by name, fault-free names first."""
-    files = _first_pattern(spark, data_dir, ("*_noisy.parquet", "*_clean.parquet", "*.parquet"))
-    return pick_schema_file(files)
+    pattern = batch_pattern(spark, data_dir, (*RUN_PATTERNS, "*.parquet"))
+    return pick_schema_file(list_files(spark, data_dir, pattern))
 
 
 def pick_schema_file(files: DataFrame) -> DataFrame:
     return files.orderBy(F.col("source_file").contains("fault"), "source_file").limit(1)
 
 
-def _first_pattern(spark: SparkSession, data_dir: str, patterns: Sequence[str],
-                   location_filter: str | None = None) -> DataFrame:
-    for pattern in patterns:
-        files = list_files(spark, data_dir, pattern)
-        if files.limit(1).count():
-            if location_filter:
-                files = files.where(F.col("source_file").contains(location_filter))
-            return files
-    raise FileNotFoundError(f"No parquet files in {data_dir}")
-
-
 def scan_batch(spark: SparkSession, data_dir: str, columns: Sequence[str] | None = None,
                years: Sequence[int] | None = None, pattern: str = "*_noisy.parquet",
                location_filter: str | None = None,
