@@ -104,3 +104,12 @@ def test_load_split(spark):
     assert whole.count() == rows.where("source_file like 'r%'").count()
     assert S.load_split(rows, files, cap=50, thin_factor=2).count() == 50
     assert S.load_split(rows, files.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [None, 40])
+def test_missing_class_names_are_a_class_of_their_own(spark, limit):
+    table = classes(spark, {"a": 300, "b": 100}).withColumn(
+        "fault_type", F.when(F.col("fault_type") == "a", F.col("fault_type")))
+    got = {r[0]: r[1] for r in S.stratified_subsample(
+        table, 100, "fault_type", rows_per_slice=limit).groupBy("fault_type").count().collect()}
+    assert got == {"a": 75, None: 25}
