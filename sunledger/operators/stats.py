@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sunledger.operators.skew import (
     HALO, counted, prefix_sum, slice_rows, slice_totals, time_ordinal)
+from sunledger.session import settle
 from sunledger.sources.telemetry import time_order
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -52,18 +53,29 @@ def unpivot(df: DataFrame, names: Sequence[str], *keep) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def exact_quantiles(long: DataFrame, fractions: Sequence[float]) -> DataFrame:
-    """Linear-interpolated exact quantiles per ``feature``: ``(feature, fraction, value)``.
+def feature_stats(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """count, mean, sample std, min and max as one row per feature, from one aggregate."""
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = rows.agg(*[F.struct(*[f(F.col(n).cast("double")).alias(k) for k, f in parts.items()])
+                     .alias(n) for n in names])
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("_s")) for n in names])
+    return one.select(F.explode(cells).alias("_f")).select("_f.feature", "_f._s.*")
+
+
+def exact_quantiles(rows: DataFrame, names: Sequence[str], stats: DataFrame,
+                    fractions: Sequence[float]) -> DataFrame:
+    """Linear-interpolated exact quantiles: ``(feature, fraction, value)``.
 
     Values are first counted into equal-width cells; only the cells that hold a wanted
     rank are then counted value by value, so no feature is sorted or held as a whole.
+    ``stats`` is the small table of ``feature_stats``.
     """
-    stats = F.broadcast(long.groupBy("feature").agg(  # one row per feature
-        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi")))
+    bounds = F.broadcast(stats.select("feature", F.col("count").alias("_n"),
+                                      F.col("min").alias("_lo"), F.col("max").alias("_hi")))
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     cell = F.coalesce(F.least(F.floor((F.col("value") - F.col("_lo")) / width * QUANTILE_CELLS),
                               F.lit(QUANTILE_CELLS - 1).cast("long")), F.lit(0).cast("long"))
-    celled = long.join(stats, "feature").withColumn("_cell", cell)
+    celled = unpivot(rows, names).join(bounds, "feature").withColumn("_cell", cell)
 
     # at most QUANTILE_CELLS rows per feature
     along = Window.partitionBy("feature").orderBy("_cell")
@@ -84,7 +96,7 @@ def exact_quantiles(long: DataFrame, fractions: Sequence[float]) -> DataFrame:
 
     hit = celled.join(F.broadcast(wanted.select("feature", "_cell").distinct()),
                       ["feature", "_cell"], "left_semi")
-    values = hit.groupBy("feature", "_cell", "value").agg(F.count(F.lit(1)).alias("_rows"))
+    values = settle(hit.groupBy("feature", "_cell", "value").agg(F.count(F.lit(1)).alias("_rows")))
     running = (prefix_sum(values, ["feature", "_cell"], ["value"], F.col("value"), "_rows", "_seen")
                .join(F.broadcast(wanted), ["feature", "_cell"])
                .withColumn("_seen", F.col("_seen") + F.col("_from")))
@@ -97,17 +109,13 @@ def exact_quantiles(long: DataFrame, fractions: Sequence[float]) -> DataFrame:
 
 def feature_describe(rows: DataFrame, names: Sequence[str], digits: int = 4) -> DataFrame:
     """count, mean, sample std, min, exact quartiles and max per feature, rounded."""
-    long = unpivot(rows, names)
-    basic = long.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    wide = exact_quantiles(long, QUARTILES).groupBy("feature").agg(*[
+    basic, _ = counted(feature_stats(rows, names))
+    wide = exact_quantiles(rows, names, basic, QUARTILES).groupBy("feature").agg(*[
         F.max(F.when(F.col("fraction") == q, F.col("value"))).alias(f"q{int(q * 100)}")
         for q in QUARTILES])
     ordered = ("mean", "std", "min", "q25", "q50", "q75", "max")
     # one row per feature
-    return basic.join(F.broadcast(wide), "feature").select(
+    return basic.join(F.broadcast(wide), "feature", "left").select(
         "feature", "count", *[F.round(c, digits).alias(c) for c in ordered])
 
 

@@ -21,10 +21,11 @@ def test_describe_equals_pandas(spark, monkeypatch):
             np.testing.assert_allclose(got, want[r["feature"]], rtol=1e-8, atol=1e-8)
 
 
-def test_quantiles_of_a_flat_feature(spark):
-    rows = spark.range(50).select(F.lit("a").alias("feature"), F.lit(2.0).alias("value"))
-    got = {r["fraction"]: r["value"] for r in X.exact_quantiles(rows, (0.25, 0.5)).collect()}
-    assert got == {0.25: 2.0, 0.5: 2.0}
+def test_describe_of_flat_and_empty_features(spark):
+    rows = spark.range(50).select(F.lit(2.0).alias("flat"), F.lit(None).cast("float").alias("none"))
+    got = {r["feature"]: r for r in X.feature_describe(rows, ["flat", "none"]).collect()}
+    assert got["flat"]["q25"] == got["flat"]["q50"] == 2.0 and got["flat"]["std"] == 0
+    assert got["none"]["count"] == 0 and got["none"]["q50"] is None
 
 
 def test_histogram_equals_numpy(spark):
