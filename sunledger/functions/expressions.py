@@ -51,8 +51,8 @@ def loc_id(latitude: Column, longitude: Column) -> Column:
                        F.round(longitude, 2).cast("string"))
 
 
-def clean_number(value: Column) -> Column:
-    """NULL, NaN and both infinities become 0."""
-    single = value.cast("float")
-    bad = single.isNull() | F.isnan(single) | (F.abs(single) == F.lit(float("inf")))
-    return F.when(bad, F.lit(0.0)).otherwise(single).cast("float")
+def clean_number(name: str) -> Column:
+    """NULL, NaN and both infinities of a column become 0."""
+    x = f"CAST(`{name}` AS FLOAT)"
+    return F.expr(f"CAST(IF({x} IS NULL OR isnan({x}) OR abs({x}) = float('inf'), 0, {x}) "
+                  "AS FLOAT)")

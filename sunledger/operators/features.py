@@ -96,4 +96,4 @@ def feature_columns(df: DataFrame, names: Sequence[str]) -> tuple[list[str], lis
 def clean_matrix(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Finite float features, missing ones dropped, next to the columns in ``keep``."""
     present, _ = feature_columns(df, names)
-    return df.select(*keep, *[clean_number(F.col(n)).alias(n) for n in present])
+    return df.select(*keep, *[clean_number(n).alias(n) for n in present])

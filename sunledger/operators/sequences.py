@@ -43,7 +43,7 @@ def fit_scaler(features: DataFrame, files: DataFrame, names: Sequence[str], seed
     key = row_key(features)
     sample = take_smallest_hash(chosen, ["source_file"], seeded_digest(seed, *key), quotas,
                                 key, rows_per_slice)
-    clean = sample.select(*[clean_number(F.col(n)).cast("double").alias(n) for n in names])
+    clean = sample.select(*[clean_number(n).cast("double").alias(n) for n in names])
     return clean.agg(*[F.avg(n).alias(f"mean_{n}") for n in names],
                      *[F.stddev_pop(n).alias(f"std_{n}") for n in names])
 
@@ -62,7 +62,7 @@ def apply_scaler(features: DataFrame, scaler: DataFrame, keep: Sequence[str] = (
 
     def scaled(name: str):
         spread = F.coalesce(F.nullif(F.col(f"std_{name}"), F.lit(0.0)), F.lit(1.0))
-        value = clean_number(F.col(name)).cast("double")
+        value = clean_number(name).cast("double")
         return ((value - F.col(f"mean_{name}")) / spread).cast("float").alias(name)
 
     # one-row side
@@ -108,7 +108,7 @@ def sequence_windows(rows: DataFrame, size: int, stride: int, label: str = "labe
 def window_arrays(rows: DataFrame, names: Sequence[str], size: int, stride: int,
                   rows_per_slice: int | None = None) -> DataFrame:
     """The ``(size, features)`` block of every window as nested arrays."""
-    point = F.struct("rn", F.array(*[clean_number(F.col(n)) for n in names]).alias("x"))
+    point = F.struct("rn", F.array(*[clean_number(n) for n in names]).alias("x"))
     exploded = window_rows(rows.select("source_file", *time_order(rows), *names), size, stride,
                            rows_per_slice)
     blocks = _complete(exploded, size, F.sort_array(F.collect_list(point)).alias("_points"))
@@ -124,7 +124,7 @@ def window_summary(rows: DataFrame, names: Sequence[str], size: int, stride: int
     exploded = exploded.withColumn("_step", F.col("rn") - F.col("window_id") * stride)
     aggregates = [F.max_by(label, "rn").alias("label")]
     for name in names:
-        x = clean_number(F.col(name)).cast("double")
+        x = clean_number(name).cast("double")
         aggregates += [
             F.max_by(x, "rn").alias(f"{name}_last"), F.avg(x).alias(f"{name}_mean"),
             F.stddev_samp(x).alias(f"{name}_std"), F.min(x).alias(f"{name}_min"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
@@ -83,15 +83,14 @@ class Task:
         return coded.withColumn("label", F.col("label").cast("double").alias("label", metadata=meta))
 
 
-def open_task(rows: DataFrame, entries: DataFrame, target: str) -> Task | None:
-    """The shared label encoder, from faulted rows of train and val files."""
+def open_task(seen: DataFrame, target: str) -> Task | None:
+    """The shared label encoder, from the faulted rows of train and val files."""
+    spark = seen.sparkSession
     if target == DETECTION:
-        return Task(target, S.detection_labels(rows.sparkSession), list(DETECTION_CLASSES))
-    seen = R.rows_with_split(rows.select("source_file", "fault_active", "fault_type"),
-                             entries.where(F.col("split").isin("train", "val"))
-                             .select("source_file").distinct())
-    labels = settle(S.label_table(seen))
-    names = [r["fault_type"] for r in labels.orderBy("label").collect()]  # the vocabulary
+        return Task(target, S.detection_labels(spark), list(DETECTION_CLASSES))
+    names = sorted(r["fault_type"] for r in S.discover_fault_types(seen).collect())  # vocabulary
+    labels = spark.createDataFrame(list(zip(names, range(len(names)))),
+                                   "fault_type string, label int")
     return Task(target, labels, names) if names else None
 
 
@@ -138,31 +137,30 @@ def score(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
 
 @dataclass
 class ModelResult:
+    """Settled predictions of one model; report and AUC are computed when asked for."""
+
     mode: str
     feature_names: list[str]
     predictions: DataFrame
-    report: DataFrame
-    auc: DataFrame
+    task: Task
     model: PipelineModel | None = None
 
-    def auc_value(self) -> float | None:
-        row = self.auc.first()
-        return row["auc"] if row else None
-
+    @cached_property
+    def report(self) -> DataFrame:
+        return M.classification_report(self.predictions, self.task.classes())
 
-def evaluate(predictions: DataFrame, task: Task) -> tuple[DataFrame, DataFrame]:
-    """Report and AUC; the AUC is NULL when test data does not hold every class."""
-    report = M.classification_report(predictions, task.classes())
-    if task.n_classes == 2:
-        return report, M.roc_auc_binary(predictions)
-    return report, M.roc_auc_ovr_weighted(predictions)
+    @cached_property
+    def auc(self) -> float | None:
+        """None when the test data does not hold every class."""
+        binary = self.task.n_classes == 2
+        table = (M.roc_auc_binary if binary else M.roc_auc_ovr_weighted)(self.predictions)
+        row = table.first()
+        return row["auc"] if row else None
 
 
 def _result(mode: str, names: list[str], predictions: DataFrame, task: Task,
             model: PipelineModel | None) -> ModelResult:
-    kept = settle(predictions)
-    report, auc = evaluate(kept, task)
-    return ModelResult(mode, names, kept, report, auc, model)
+    return ModelResult(mode, names, settle(predictions), task, model)
 
 
 # --- tabular -----------------------------------------------------------------------------------
@@ -227,7 +225,7 @@ def batched_forest(train: DataFrame, test: DataFrame, entries: DataFrame, names:
         if rows_per_batch:
             part = S.stratified_subsample(part, rows_per_batch, "fault_type")
         part = weigh(task_matrix(part, present), weights)
-        if part.limit(1).count():
+        if not part.isEmpty():
             fitted = random_forest(numTrees=trees, **params).fit(
                 assembler(present).transform(part))
             models.append((trees, fitted))
@@ -277,7 +275,7 @@ def run_sequence(mode: str, rows: dict[str, DataFrame], names: Sequence[str], ta
         return Q.window_summary(scaled, present, window_size, stride)
 
     windows = {s: settle(cut(s)) for s in ("train", "test")}
-    if not all(w.limit(1).count() for w in windows.values()):
+    if any(w.isEmpty() for w in windows.values()):
         return None
     inputs = [c for c in windows["train"].columns
               if c not in ("source_file", "window_id", "label", "n_rows")]
@@ -319,7 +317,7 @@ class TaskResult:
     classes: DataFrame | None = None
 
     def aucs(self) -> dict[str, float | None]:
-        return {mode: result.auc_value() for mode, result in self.models.items()}
+        return {mode: result.auc for mode, result in self.models.items()}
 
     def reports(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [r.report for r in self.models.values()])
@@ -347,12 +345,11 @@ def run_task(features: DataFrame, registry: DataFrame, target: str, names: Seque
     if any(m in SEQUENCE for m in modes) and not (window_size and stride):
         raise ValueError("Sequence modes require these parameters: window_size, stride")
     result = TaskResult(target)
-    entries = settle(R.resolve_entries(registry, target))
-    if not entries.limit(1).count():
-        return result
-    sides = {s: split_rows(features, entries, s) for s in ("train", "val", "test")}
-    fitting = sides["train"].unionByName(sides["val"])
-    task = open_task(fitting, entries, target)
+    entries = broadcast_checked(R.resolve_entries(registry, target))
+    placed = place_rows(features, entries)
+    sides = {s: placed.where(F.col("split") == s).select(*features.columns)
+             for s in ("train", "val", "test")}
+    task = open_task(placed.where(F.col("split").isin("train", "val")), target)
     if task is None:
         return result
     result.class_names, result.classes = task.class_names, task.classes()
@@ -367,7 +364,7 @@ def run_task(features: DataFrame, registry: DataFrame, target: str, names: Seque
         train = task.label_rows(train_rows)
         if majority_thin_factor > 1 or max_train_rows:
             train = settle(train)  # the fit reads it several times
-        if test.limit(1).count() and train.limit(1).count():
+        if not (test.isEmpty() or train.isEmpty()):
             for mode in tabular:
                 settings = params.get(mode, {})
                 if rows_per_batch and mode == "random_forest":
@@ -405,14 +402,20 @@ def run_task(features: DataFrame, registry: DataFrame, target: str, names: Seque
     return result
 
 
-def split_rows(features: DataFrame, entries: DataFrame, split: str) -> DataFrame:
-    """Feature rows of one split, restricted to each entry's years where given."""
-    keep = [c for c in ("source_file", "years") if c in entries.columns]
-    files = entries.where(F.col("split") == split).select(*keep)
+def place_rows(features: DataFrame, entries: DataFrame) -> DataFrame:
+    """Feature rows with their file's split, restricted to each entry's years where given."""
+    keep = [c for c in ("source_file", "split", "years") if c in entries.columns]
+    placed = features.join(entries.select(*keep), "source_file")
     if "years" in keep:
-        return R.rows_in_years(features, files).select(*features.columns)
-    return features.join(broadcast_checked(files), "source_file", "left_semi").select(
-        *features.columns)
+        placed = placed.where(F.col("years").isNull() | F.array_contains(
+            "years", F.col("sim_year")))
+    return placed.select(*features.columns, "split")
+
+
+def split_rows(features: DataFrame, entries: DataFrame, split: str) -> DataFrame:
+    """Feature rows of one split."""
+    files = broadcast_checked(entries.where(F.col("split") == split))
+    return place_rows(features, files).select(*features.columns)
 
 
 def cap_rows(rows: DataFrame, cap: int | None) -> DataFrame:

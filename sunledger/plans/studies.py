@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sunledger.functions.columns import ABLATION_SETS, feature_set
 from sunledger.operators import registry as R
 from sunledger.operators.features import add_features
 from sunledger.operators.skew import broadcast_checked
 from sunledger.plans.models import (
-    CLASSIFICATION, DETECTION, ModelResult, Task, TaskResult, cap_rows, evaluate, run_task, score,
+    CLASSIFICATION, DETECTION, ModelResult, Task, TaskResult, cap_rows, run_task, score,
     split_rows, task_matrix)
 from sunledger.session import settle
 from sunledger.sources.manifest import load_manifest, load_model
 
+#: model runs of a study that are in flight at the same time
+PARALLELISM = 4
 STUDY_SCHEMA = "model_mode string, detection_auc double, classification_auc double"
 
 
-def both_tasks(features: DataFrame, registry: DataFrame, names: Sequence[str],
-               modes: Sequence[str], **options) -> dict[str, dict[str, float | None]]:
-    """AUC per mode for detection and classification on the same splits."""
-    out: dict[str, dict[str, float | None]] = {}
-    for target, key in ((DETECTION, "detection_auc"), (CLASSIFICATION, "classification_auc")):
-        result = run_task(features, registry, target, names, modes, **options)
-        for mode, value in result.aucs().items():
-            out.setdefault(mode, {})[key] = value
+def run_each(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
+    """Results of ``work(*item)`` in order; independent model runs share the cluster."""
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(work), *item) for item in items]
+        return [job.result() for job in jobs]
+
+
+def both_tasks(features: DataFrame, folds: Sequence[DataFrame], names: Sequence[str],
+               modes: Sequence[str], parallelism: int, **options
+               ) -> list[dict[str, dict[str, float | None]]]:
+    """Per fold and mode, the AUC of detection and of classification on the same splits."""
+    tasks = ((DETECTION, "detection_auc"), (CLASSIFICATION, "classification_auc"))
+
+    def aucs(fold: DataFrame, target: str) -> dict[str, float | None]:
+        return run_task(features, fold, target, names, modes, **options).aucs()
+
+    found = run_each(features.sparkSession, aucs,
+                     [(fold, target) for fold in folds for target, _ in tasks], parallelism)
+    out = []
+    for i in range(len(folds)):
+        by_mode: dict[str, dict[str, float | None]] = {}
+        for (_, key), values in zip(tasks, found[2 * i:2 * i + 2]):
+            for mode, value in values.items():
+                by_mode.setdefault(mode, {})[key] = value
+        out.append(by_mode)
     return out
 
 
@@ -44,30 +65,32 @@ def temporal_features(rows: DataFrame, array_kwp: float | None) -> DataFrame:
 
 def temporal_split_study(rows: DataFrame, array_kwp: float | None, registry: DataFrame,
                          names: Sequence[str], modes: Sequence[str] = ("random_forest",),
-                         **options) -> DataFrame:
+                         parallelism: int = PARALLELISM, **options) -> DataFrame:
     """Train on the early years of every pool file, test on the last year."""
     folds = settle(R.temporal_folds(rows, registry).where(F.col("split") != "unused"))
     found = []
     if folds.limit(1).count():
         features = settle(temporal_features(rows, array_kwp))
-        for mode, auc in both_tasks(features, folds, names, modes, **options).items():
+        by_mode, = both_tasks(features, [folds], names, modes, parallelism, **options)
+        for mode, auc in by_mode.items():
             found.append((mode, auc.get("detection_auc"), auc.get("classification_auc")))
     return registry.sparkSession.createDataFrame(found, STUDY_SCHEMA)
 
 
 def cross_location_study(features: DataFrame, registry: DataFrame, file_sites: DataFrame,
                          site_names: DataFrame, names: Sequence[str],
-                         modes: Sequence[str] = ("random_forest",), **options) -> DataFrame:
+                         modes: Sequence[str] = ("random_forest",),
+                         parallelism: int = PARALLELISM, **options) -> DataFrame:
     """Hold out one site at a time; a site whose AUC is undefined keeps a NULL."""
     spark = registry.sparkSession
     folds = settle(R.location_folds(registry, file_sites).where(F.col("split") != "unused"))
     sites = [r["test_loc_id"] for r in
              folds.select("test_loc_id").distinct().orderBy("test_loc_id").collect()]
-    rows = []
-    for site in sites:  # one model run per held-out site
-        fold = folds.where(F.col("test_loc_id") == site)
-        for mode, auc in both_tasks(features, fold, names, modes, **options).items():
-            rows.append((mode, site, auc.get("detection_auc"), auc.get("classification_auc")))
+    # one model run per held-out site and task
+    by_site = both_tasks(features, [folds.where(F.col("test_loc_id") == s) for s in sites],
+                         names, modes, parallelism, **options)
+    rows = [(mode, site, auc.get("detection_auc"), auc.get("classification_auc"))
+            for site, by_mode in zip(sites, by_site) for mode, auc in by_mode.items()]
     results = spark.createDataFrame(
         rows, "model_mode string, test_loc_id string, detection_auc double, "
               "classification_auc double")
@@ -81,15 +104,18 @@ def cross_location_study(features: DataFrame, registry: DataFrame, file_sites: D
 
 
 def ablation_study(features: DataFrame, registry: DataFrame, columns: dict[str, list[str]],
-                   modes: Sequence[str] = ("random_forest",), **options) -> DataFrame:
+                   modes: Sequence[str] = ("random_forest",),
+                   parallelism: int = PARALLELISM, **options) -> DataFrame:
     """Detection AUC of the four feature sets on one settled feature table."""
     spark = registry.sparkSession
-    rows = []
-    for title, mode_name in ABLATION_SETS.items():
-        names = feature_set(columns, mode_name)
-        result = run_task(features, registry, DETECTION, names, modes, **options)
-        for mode, value in result.aucs().items():
-            rows.append((mode, title, len(names), value))
+    sets = {title: feature_set(columns, kind) for title, kind in ABLATION_SETS.items()}
+
+    def aucs(names: list[str]) -> dict[str, float | None]:
+        return run_task(features, registry, DETECTION, names, modes, **options).aucs()
+
+    found = run_each(spark, aucs, [(names,) for names in sets.values()], parallelism)
+    rows = [(mode, title, len(names), value) for (title, names), values in zip(sets.items(), found)
+            for mode, value in values.items()]
     return spark.createDataFrame(
         rows, "model_mode string, feature_set string, n_features int, auc double")
 
@@ -108,8 +134,7 @@ def evaluate_saved(features: DataFrame, manifest_path: str, target: str,
             [(c, i) for i, c in enumerate(class_names)], "fault_type string, label int")
         task = Task(target, labels, class_names)
         scored = settle(score(model, task_matrix(task.label_rows(rows), names), mode))
-        report, auc = evaluate(scored, task)
-        result.models[mode] = ModelResult(mode, names, scored, report, auc, model)
+        result.models[mode] = ModelResult(mode, names, scored, task, model)
         result.class_names, result.classes = class_names, task.classes()
     return result
 

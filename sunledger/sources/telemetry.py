@@ -15,15 +15,13 @@ SCENARIO_SUFFIX = (
 #: fixed values: DC/AC gain by event type, the planted signal
 DC_GAIN = {"error": 1.6, "click": 1.3, "purchase": 1.15, "signup": 1.05}
 
-BASE_COLUMNS = (
-    "event_id", "unit_id", "timestamp", "source_file", "sim_year", "sim_day", "latitude",
-    "longitude", "fault_type", "fault_active", "poa_global_wm2", "ac_power_kw", "dc_power_kw",
-)
+EVENTS = ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+          "props string")
 
 
 def telemetry(spark: SparkSession, sf_dir: str, extended: bool = False) -> DataFrame:
     """The run-file schema over the driver's ``events`` table (one user = one run file)."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     k = F.col("_k")
     suffix = F.element_at(F.array(*[F.lit(s) for s in SCENARIO_SUFFIX]),
                           (F.col("user_id") % 6 + 1).cast("int"))
