@@ -22,6 +22,8 @@ def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings every job relies on (wall-clock columns are UTC)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # small cached tables need not keep the full number of shuffle partitions
+    spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
     # run files written with nanosecond timestamps are converted by the scan
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     return spark
