@@ -95,7 +95,7 @@ class RunIndex:
         terminators = self.starts + lengths
         symbols[terminators] = 0
         self.symbols, n = symbols, len(symbols)
-        order, rank = self._suffixes(terminators)
+        order, _ = self._suffixes()
         before = symbols[order - 1]
         # the symbol before a string's first byte is its own terminator: a run of its own
         head = np.ones(n, bool)
@@ -112,27 +112,33 @@ class RunIndex:
         below = np.where(ends + 1 < n, order[np.minimum(ends + 1, n - 1)], -1)
         self.end_match = self._common(self.end_at, below)
 
-    def _suffixes(self, terminators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _suffixes(self) -> tuple[np.ndarray, np.ndarray]:
         """Suffix order by prefix doubling; a terminator makes a suffix unique."""
         n = len(self.symbols)
-        number = np.zeros(n, np.int64)
-        number[terminators] = np.arange(len(terminators))
-        rank = np.where(self.symbols == 0, number, self.symbols + len(terminators))
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-        # no comparison runs past a terminator, whose rank is unique
-        width, top = 1, int(rank.max()) + 1
-        order = np.argsort(rank, kind="stable")
+        # seven symbols of nine bits make the first key; nothing after a terminator counts
+        key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+        for k in range(7):
+            symbol = np.zeros(n, np.int64)
+            symbol[:n - k] = self.symbols[k:]
+            key = (key << 9) | np.where(open_, symbol, 0)
+            open_ &= symbol != 0
+        order = np.lexsort((np.arange(n), key))
+        # suffixes that reach their terminator are told apart by the number of the string
+        new = ~open_[order]
+        new[0] = True
+        new[1:] |= key[order][1:] != key[order][:-1]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        top, width = int(rank.max()) + 1, 7
         while top < n:
             behind = np.zeros(n, np.int64)
             behind[:n - width] = rank[width:] + 1
             key = rank * (n + 1) + behind
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            new = np.ones(n, np.int64)
-            new[1:] = sorted_key[1:] != sorted_key[:-1]
-            rank = np.empty(n, np.int64)
+            order = np.argsort(key)
+            new[1:] = key[order][1:] != key[order][:-1]
             rank[order] = np.cumsum(new) - 1
             top, width = int(rank.max()) + 1, width * 2
+            new[0] = True
         return order, rank
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -318,8 +324,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         "anchor", "kinds", "s.digest", "s.a", "s.b")
     lists = wanted.groupBy("digest").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("want"))
 
+    # text is needed of segments to index and of texts that lose a part
     touched = texts.select("digest", "copies").join(
-        shared.select("digest").distinct(), "digest").join(lists, "digest", "left")
+        equal.select("digest").union(wanted.select("digest")).distinct(), "digest").join(
+        lists, "digest", "left")
     body = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn(
         "digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     carried = settle(body.join(touched, "digest"))
