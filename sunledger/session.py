@@ -48,9 +48,9 @@ def settle(df: DataFrame, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     if by:
-        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path, compression="zstd")
     else:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
