@@ -119,7 +119,7 @@ class RunIndex:
         key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
         for k in range(7):
             symbol = np.zeros(n, np.int64)
-            symbol[:n - k] = self.symbols[k:]
+            symbol[:max(0, n - k)] = self.symbols[k:]
             key = (key << 9) | np.where(open_, symbol, 0)
             open_ &= symbol != 0
         order = np.lexsort((np.arange(n), key))
@@ -132,7 +132,7 @@ class RunIndex:
         top, width = int(rank.max()) + 1, 7
         while top < n:
             behind = np.zeros(n, np.int64)
-            behind[:n - width] = rank[width:] + 1
+            behind[:max(0, n - width)] = rank[width:] + 1
             key = rank * (n + 1) + behind
             order = np.argsort(key)
             new[1:] = key[order][1:] != key[order][:-1]
