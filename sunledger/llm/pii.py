@@ -30,7 +30,7 @@ _DIGIT = re.compile(r"[0-9]")
 
 MAX_TOKENS = 24
 #: regions the field is trained on at most, and how far a decoded span must win
-TRAIN_REGIONS, MARGIN = 1500, 2.0
+TRAIN_REGIONS, MARGIN = 1000, 2.0
 REGION_CHARS = 160
 
 _ANCHOR = re.compile(r"[0-9@]\S*")
@@ -180,7 +180,7 @@ def _lattice(n: int, segs: list[tuple[int, int]], scores: np.ndarray
     return fwd, bwd, float(fwd[n])
 
 
-def train(texts: list[str], rounds: int = 12, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
+def train(texts: list[str], rounds: int = 30, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
     """Weights per kind by gradient ascent (AdaGrad) on the conditional likelihood."""
     cases = []
     for text in texts:

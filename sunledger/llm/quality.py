@@ -56,12 +56,14 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Smallest ratio of unlabelled to positive mass above a threshold, with a margin for noise."""
-    best = 1.0
+    """Ratio of unlabelled to positive mass above the threshold that bounds it best."""
+    noise = np.sqrt(0.7 / len(positive)) + np.sqrt(0.7 / len(unlabelled))
+    best, bound = 1.0, np.inf
     for t in np.quantile(positive, np.linspace(0.0, 0.9, 91)):
         p, u = np.mean(positive >= t), np.mean(unlabelled >= t)
-        noise = np.sqrt(0.7 / len(positive)) + np.sqrt(0.7 / len(unlabelled))
-        best = min(best, (u + noise) / max(p, 1e-9))
+        # the threshold is chosen by an upper bound, the ratio there is the estimate
+        if (u + noise) / p < bound:
+            best, bound = u / p, (u + noise) / p
     return float(np.clip(best, 0.05, 0.98))
 
 
