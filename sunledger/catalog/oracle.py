@@ -256,17 +256,9 @@ CTES["long_feats"] = " union all ".join(
 CTES["influence"] = """
 select feature, avg(abs(value - 0.5)) as mean_abs, avg(value - 0.5) as mean_signed
 from long_feats group by feature"""
-CTES["scaler_rows"] = """
-select * from (select *, row_number() over (partition by source_file
-    order by md5(concat('42|', cast(event_id as varchar))), event_id) as nth
-  from feats where source_file in (select source_file from (
-    select source_file, row_number() over (order by source_file) - 1 as rn,
-      greatest(1, count(*) over () // 20) as step
-    from (select distinct source_file from feats))
-    where rn % step = 0 and rn < step * 20)) where nth <= 50"""
 CTES["scaler"] = "select " + ", ".join(
     f"avg(cast({c} as double)) as mean_{c}, stddev_pop(cast({c} as double)) as std_{c}"
-    for c in SCALED) + " from scaler_rows"
+    for c in SCALED) + " from feats"
 
 
 def _windows(source: str, label: str, extra: str = "") -> str:

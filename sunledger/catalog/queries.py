@@ -295,13 +295,13 @@ SCALED = ("performance_ratio", "pr_deviation", "dc_ac_power_ratio", "power_step"
 
 def fit_scaler(spark, sf):
     table = I.settled_features(spark, sf)
-    scaler = Q.fit_scaler(table, table, SCALED, rows_per_file=50)
+    scaler = Q.fit_scaler(table, table, SCALED)
     return _round(Q.scaler_table(scaler), "mean", "std")
 
 
 def apply_scaler(spark, sf):
     table = I.settled_features(spark, sf)
-    scaler = Q.fit_scaler(table, table, SCALED, rows_per_file=50)
+    scaler = Q.fit_scaler(table, table, SCALED)
     scaled = Q.apply_scaler(table, scaler, BASE)
     return scaled.select(*BASE, *[F.round(F.col(n).cast("double"), 4).alias(n) for n in SCALED])
 

@@ -41,8 +41,8 @@ def stratified_quotas(counts: DataFrame, label: str, cap: int) -> DataFrame:
     """Largest-remainder shares of ``cap``; ``counts`` has (label, n), one row per class."""
     total = counts.agg(F.sum("n").alias("_total"))
     shares = (counts.crossJoin(F.broadcast(total))
-              .withColumn("_floor", F.expr(f"({cap}L * n) div _total"))
-              .withColumn("_left", F.expr(f"({cap}L * n) % _total")))
+              .withColumn("_floor", F.expr(f"(cast({cap} as decimal(19, 0)) * n) div _total"))
+              .withColumn("_left", F.expr(f"(cast({cap} as decimal(19, 0)) * n) % _total")))
     # one row per class
     everything = Window.partitionBy().rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)

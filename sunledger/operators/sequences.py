@@ -6,44 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from sunledger.functions.expressions import clean_number, seeded_digest
-from sunledger.operators.skew import (
-    broadcast_checked, global_position, take_smallest_hash, time_ordinal, with_position)
-from sunledger.sources.telemetry import row_key, time_order
-
-SEED = 42
-SCALER_FILES = 20
-SCALER_ROWS_PER_FILE = 10_000
+from sunledger.functions.expressions import clean_number
+from sunledger.operators.skew import time_ordinal, with_position
+from sunledger.sources.telemetry import time_order
 
 
 # --- scaler ------------------------------------------------------------------------------
 
-def scaler_files(files: DataFrame, n_files: int = SCALER_FILES) -> DataFrame:
-    """Every ``max(1, n // n_files)``-th file in name order, at most ``n_files``."""
-    placed = global_position(files.select("source_file").distinct(), ["source_file"], "_at")
-    step = F.greatest(F.lit(1), F.expr(f"_n div {n_files}"))
-    total = placed.agg(F.count(F.lit(1)).alias("_n"))
-    return (placed.crossJoin(F.broadcast(total)).withColumn("_at", F.col("_at") - 1)
-            .where((F.col("_at") % step == 0) & (F.col("_at") < step * n_files))
-            .select("source_file"))
-
-
-def fit_scaler(features: DataFrame, files: DataFrame, names: Sequence[str], seed: int = SEED,
-               n_files: int = SCALER_FILES, rows_per_file: int = SCALER_ROWS_PER_FILE,
-               rows_per_slice: int | None = None) -> DataFrame:
-    """One row of ``mean_<f>`` and population ``std_<f>`` over a sample of the files.
-
-    At most ``n_files`` files take part, so the sampled rows are bounded by
-    ``n_files * rows_per_file``.
-    """
+def fit_scaler(features: DataFrame, files: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row of ``mean_<f>`` and population ``std_<f>`` over all rows of the files."""
     names = [n for n in names if n in features.columns]
-    chosen = features.join(F.broadcast(scaler_files(files, n_files)), "source_file", "left_semi")
-    quotas = (chosen.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("quota", F.least(F.col("n"), F.lit(rows_per_file))))
-    key = row_key(features)
-    sample = take_smallest_hash(chosen, ["source_file"], seeded_digest(seed, *key), quotas,
-                                key, rows_per_slice)
-    clean = sample.select(*[clean_number(n).cast("double").alias(n) for n in names])
+    chosen = features.join(files.select("source_file").distinct(), "source_file", "left_semi")
+    clean = chosen.select(*[clean_number(n).cast("double").alias(n) for n in names])
     return clean.agg(*[F.avg(n).alias(f"mean_{n}") for n in names],
                      *[F.stddev_pop(n).alias(f"std_{n}") for n in names])
 

@@ -200,16 +200,18 @@ def batched_forest(train: DataFrame, test: DataFrame, entries: DataFrame, names:
                    num_trees: int = 200, **params) -> ModelResult | None:
     """A forest grown over class-balanced file batches.
 
-    Each batch gets an equal share of the trees, the rest goes to the last one; class
+    The trees are shared out evenly, one more to the first batches if they don't divide; class
     weights are fixed once over all training rows; probabilities are averaged by trees.
     """
     present, _ = feature_columns(train, names)
     batches = settle(R.class_balanced_batches(entries, files_per_batch))
     n_batches = (batches.agg(F.max("batch")).first()[0] or 0) + 1 if batches.count() else 0
-    per_batch = [max(1, num_trees // n_batches)] * n_batches if n_batches else []
-    if not per_batch:
+    if not n_batches or num_trees < 1:
         return None
-    per_batch[-1] += num_trees - sum(per_batch)
+    # with more batches than trees the batches are dealt out to the trees, so every file counts
+    n_parts = min(n_batches, num_trees)
+    least, spare = divmod(num_trees, n_parts)
+    batches = batches.withColumn("batch", F.col("batch") % n_parts)
     counts = train.groupBy(F.col("label").cast("int").alias("label")).agg(
         F.count(F.lit(1)).alias("n"))
     weights = settle(S.balanced_weights(counts, task.classes().select("label")))
@@ -218,9 +220,8 @@ def batched_forest(train: DataFrame, test: DataFrame, entries: DataFrame, names:
     parts = settle(train.join(broadcast_checked(batches.select("source_file", "batch")),
                               "source_file"), by="batch")
     models = []
-    for number, trees in enumerate(per_batch):
-        if trees <= 0:
-            continue
+    for number in range(n_parts):
+        trees = least + (number < spare)
         part = parts.where(F.col("batch") == number)
         if rows_per_batch:
             part = S.stratified_subsample(part, rows_per_batch, "fault_type")

@@ -51,15 +51,18 @@ def both_tasks(features: DataFrame, folds: Sequence[DataFrame], names: Sequence[
     return out
 
 
-def temporal_features(rows: DataFrame, array_kwp: float | None) -> DataFrame:
-    """Features whose rolling state starts again at the last year.
+def temporal_features(rows: DataFrame, array_kwp: float | None,
+                      registry: DataFrame) -> DataFrame:
+    """Features whose rolling state starts again at the last year of the pool's files.
 
     Early years never look ahead, so this one table equals featuring the early and the
     last years apart.
     """
     # one-row side
-    last = F.broadcast(rows.agg(F.max("sim_year").alias("_last")))
-    marked = rows.crossJoin(last).withColumn("_late", F.col("sim_year") == F.col("_last"))
+    pool = registry.where(F.col("split").isin("train", "val")).select("source_file")
+    last = F.broadcast(rows.join(pool, "source_file", "left_semi").agg(
+        F.max("sim_year").alias("_last")))
+    marked = rows.crossJoin(last).withColumn("_late", F.col("sim_year") >= F.col("_last"))
     return add_features(marked, array_kwp, restart=["_late"]).drop("_late", "_last")
 
 
@@ -70,7 +73,7 @@ def temporal_split_study(rows: DataFrame, array_kwp: float | None, registry: Dat
     folds = settle(R.temporal_folds(rows, registry).where(F.col("split") != "unused"))
     found = []
     if folds.limit(1).count():
-        features = settle(temporal_features(rows, array_kwp))
+        features = settle(temporal_features(rows, array_kwp, registry))
         by_mode, = both_tasks(features, [folds], names, modes, parallelism, **options)
         for mode, auc in by_mode.items():
             found.append((mode, auc.get("detection_auc"), auc.get("classification_auc")))

@@ -118,7 +118,15 @@ def test_temporal_features_equal_separate_features(spark, sf):
     rows = I.rows(spark, sf)
     last = rows.where("sim_year = 3")
     apart = I.add_features(last, I.KWP).select("event_id", "pr_deviation", "power_step")
-    joint = ST.temporal_features(rows, I.KWP).where("sim_year = 3").select(apart.columns)
+    files = rows.select("source_file").distinct().withColumn("split", F.lit("train"))
+    joint = ST.temporal_features(rows, I.KWP, files).where("sim_year = 3").select(apart.columns)
+    # a later year that only a test file reaches does not move the restart
+    later = rows.where("sim_year = 3").limit(1).withColumns(
+        {"source_file": F.lit("late"), "sim_year": F.lit(4), "event_id": F.lit(-1)})
+    pool = files.union(later.select("source_file", F.lit("test")))
+    moved = ST.temporal_features(rows.unionByName(later), I.KWP, pool).where(
+        "sim_year = 3").select(apart.columns)
+    assert moved.exceptAll(apart).count() == 0 and moved.count() == apart.count()
     assert joint.exceptAll(apart).count() == 0 and joint.count() == apart.count()
 
 

@@ -113,3 +113,10 @@ def test_missing_class_names_are_a_class_of_their_own(spark, limit):
     got = {r[0]: r[1] for r in S.stratified_subsample(
         table, 100, "fault_type", rows_per_slice=limit).groupBy("fault_type").count().collect()}
     assert got == {"a": 75, None: 25}
+
+
+def test_quotas_of_very_large_classes_do_not_overflow(spark):
+    counts = spark.createDataFrame([("a", 1_200_000_000_000), ("b", 400_000_000_000)],
+                                   "label string, n long")
+    got = {r["label"]: r["quota"] for r in S.stratified_quotas(counts, "label", 10_000_000).collect()}
+    assert got == {"a": 7_500_000, "b": 2_500_000}

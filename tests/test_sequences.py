@@ -64,14 +64,6 @@ def test_val_fallback(spark):
     assert read(make([(2, "test")])) == []
 
 
-def test_scaler_files_are_evenly_spaced(spark):
-    for n in (1, 19, 20, 45, 60):
-        names = spark.range(n).select(F.format_string("f%03d", "id").alias("source_file"))
-        step = max(1, n // 20)
-        want = [f"f{i:03d}" for i in range(n)][::step][:20]
-        assert sorted(r[0] for r in Q.scaler_files(names).collect()) == want
-
-
 def test_scaler_uses_population_deviation_and_leaves_constants(spark):
     rows = skewed_runs(spark).withColumn("flat", F.lit(3.0))
     scaler = Q.fit_scaler(rows, rows, ["ac_power_kw", "flat", "absent"])
@@ -84,8 +76,11 @@ def test_scaler_uses_population_deviation_and_leaves_constants(spark):
     assert START is not None
 
 
-def test_scaler_caps_rows_per_file(spark):
-    rows = skewed_runs(spark)
-    one, two = (Q.scaler_table(Q.fit_scaler(rows, rows, ["ac_power_kw"], rows_per_file=20,
-                                            rows_per_slice=n)).collect() for n in (None, 30))
-    assert one == two
+def test_scaler_takes_all_rows_of_the_listed_files(spark):
+    rows = spark.range(40_000).select(
+        F.format_string("f%02d", F.col("id") % 30).alias("source_file"), F.col("id").alias("v"))
+    for n in (30, 25):
+        files = rows.where(F.col("source_file") < f"f{n}").select("source_file")
+        x = np.array([i for i in range(40_000) if i % 30 < n], float)
+        found = Q.scaler_table(Q.fit_scaler(rows, files, ["v"])).first()
+        np.testing.assert_allclose([found["mean"], found["std"]], [x.mean(), x.std()], rtol=1e-9)
