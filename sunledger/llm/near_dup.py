@@ -213,7 +213,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text"
         links = tried.where("linked").select("a", "b")
         labels = connect(links)
         split = _divided(buckets, labels)
-        hubs *= 16
+        hubs *= 4
         more = settle(_next_pairs(split, hubs).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty() and _exhausted(split, hubs):
             break
