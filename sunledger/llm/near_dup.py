@@ -8,9 +8,10 @@ coordinate keeps its earliest dart: two documents agree there with a probability
 their weighted Jaccard similarity.  Only about ``K ln K`` darts are thrown per document.
 
 Signatures are banded.  In a band's bucket documents are compared exactly with the bucket's
-first member; what is not yet in one class is compared with more members in further rounds,
-until every bucket is settled, so no link between two texts of different classes is lost and
-no bucket is expanded into all pairs once its members are connected.
+hub.  Where a bucket then still holds several classes, their members are paired once more by
+the rarest shingles of each text; a pair without a common one there is proven to be less than
+0.8 similar, all others are compared exactly.  So no link between two texts of different
+classes is lost, and the members of one class are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -61,6 +62,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def _occurrences(hashes: np.ndarray, owner: np.ndarray
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles sorted by row and hash, their rows, and how many equal ones precede each."""
+    order = np.lexsort((hashes, owner))
+    h, o = hashes[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    starts = np.flatnonzero(new)
+    return h, o, np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+
+
 def dart_signatures(hashes: np.ndarray, owner: np.ndarray, n_rows: int,
                     k: int = K) -> np.ndarray:
     """Earliest dart of every coordinate: its rank, unique to the dart; rows x k.
@@ -71,12 +83,7 @@ def dart_signatures(hashes: np.ndarray, owner: np.ndarray, n_rows: int,
     sig = np.full((n_rows, k), np.inf)
     if not len(hashes):
         return sig
-    order = np.lexsort((hashes, owner))
-    h, o = hashes[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-    starts = np.flatnonzero(new)
-    copy = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    h, o, copy = _occurrences(hashes, owner)
     with np.errstate(over="ignore"):
         slab = mix(h + mix(copy.astype(np.uint64) * _SEEDS[0] + _SEEDS[1]))
     weight = np.bincount(o, minlength=n_rows).astype(np.float64)
@@ -195,11 +202,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text"
     signed = settle(sign_texts(docs, key, text))
     nodes = (signed.where((F.size("bands") > 0) & F.col("digest").isNotNull())
              .groupBy("digest").agg(F.first("bands").alias("bands")))
-    members = nodes.select("digest", F.posexplode("bands").alias("band", "k"))
-    # buckets with one member need no comparison
-    crowded = members.groupBy("band", "k").agg(F.count(F.lit(1)).alias("n"),
-                                               F.min("digest").alias("hub")).where("n > 1")
-    buckets = settle(members.join(crowded, ["band", "k"]).select("band", "k", "digest", "hub"))
+    buckets = settle(_buckets(nodes))
     texts = settle(
         docs.select(F.col(text).alias("text"), F.md5(F.col(text).cast("binary")).alias("digest"))
         .join(buckets.select("digest").distinct(), "digest")
@@ -207,44 +210,88 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text"
         .groupBy("digest").agg(F.max("text").alias("text")))
 
     tried = settle(_verify(buckets.where("digest <> hub").select(
-        F.col("hub").alias("a"), F.col("digest").alias("b")).distinct(), texts))
-    hubs = 1
-    while True:
-        links = tried.where("linked").select("a", "b")
-        labels = connect(links)
-        split = _divided(buckets, labels)
-        hubs *= 4
-        more = settle(_next_pairs(split, hubs).join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty() and _exhausted(split, hubs):
-            break
-        tried = settle(tried.union(_verify(more, texts)))
+        F.least("hub", "digest").alias("a"), F.greatest("hub", "digest").alias("b")).distinct(),
+        texts))
+    divided = _divided(buckets, connect(tried.where("linked")))
+    more = settle(_prefix_pairs(divided, texts).join(tried, ["a", "b"], "left_anti"))
+    links = settle(tried.union(_verify(more, texts)).where("linked").select("a", "b"))
+    labels = connect(links)
     classes = signed.select("key", "digest").join(
         labels.withColumnRenamed("node", "digest"), "digest", "left").select(
         "key", "digest", F.coalesce("label", "digest").alias("class"))
     return classes, links
 
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """Members of every bucket with more than one text, and the bucket's hub.
+
+    The hub is the member with most company over all its buckets, which is the text that
+    the others were copied from if there is one; ties go to the smaller digest.
+    """
+    members = nodes.select("digest", F.posexplode("bands").alias("band", "k"))
+    crowded = members.groupBy("band", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = settle(members.join(crowded, ["band", "k"]))
+    company = shared.groupBy("digest").agg(F.sum("n").alias("company"))
+    hubs = shared.join(company, "digest").groupBy("band", "k").agg(
+        F.min(F.struct(-F.col("company"), "digest"))["digest"].alias("hub"))
+    return shared.join(hubs, ["band", "k"]).select("band", "k", "digest", "hub")
+
+
 def _divided(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold more than one class."""
+    """Text and class of the members of buckets that still hold more than one class."""
     named = buckets.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
         "label", F.coalesce("label", "digest"))
     mixed = named.groupBy("band", "k").agg(
         F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
-    return settle(named.join(mixed.select("band", "k"), ["band", "k"], "left_semi"))
+    return settle(named.join(mixed.select("band", "k"), ["band", "k"], "left_semi")
+                  .select("digest", "label").distinct())
 
 
-def _next_pairs(split: DataFrame, hubs: int) -> DataFrame:
-    """The first ``hubs`` members of a divided bucket against its members of other classes."""
-    first = Window.partitionBy("band", "k").orderBy("digest")
-    ahead = (split.withColumn("r", F.row_number().over(first)).where(F.col("r") <= hubs)
-             .select("band", "k", F.col("digest").alias("a"), F.col("label").alias("_la")))
-    return (split.join(ahead, ["band", "k"]).where(
-        (F.col("label") != F.col("_la")) & (F.col("digest") != F.col("a")))
-        .select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct())
-
-
-def _exhausted(split: DataFrame, hubs: int) -> bool:
-    return split.groupBy("band", "k").count().where(F.col("count") > hubs).isEmpty()
+def _elements(texts: DataFrame) -> DataFrame:
+    """One row per shingle and occurrence of a text: ``digest, size, element``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                h, o, copy = _occurrences(*shingle_hashes(piece["text"]))
+                size = np.bincount(o, minlength=piece.num_rows)
+                with np.errstate(over="ignore"):
+                    element = mix(h ^ mix(copy.astype(np.uint64) * _SEEDS[7] + _SEEDS[5]))
+                yield pa.RecordBatch.from_arrays(
+                    [piece["digest"].take(pa.array(o)), pa.array(size[o]),
+                     pa.array(element.view(np.int64))], names=["digest", "size", "element"])
+    return texts.select("digest", "text").mapInArrow(run, "digest string, size long, element long")
+
+
+def _prefix_pairs(divided: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every pair (a, b) of different classes that can still be similar.
+
+    Texts of x and y shingles with similarity 0.8 have at least 4/9 (x + y) in common.  So,
+    in one order of all shingles, rarest first, the first x - 4/9 (x + y) + 1 shingles of
+    one and the first y - 4/9 (x + y) + 1 of the other share one: a pair that shares none
+    there is proven not to be linked.  Shingles held by one class only are set aside, and
+    classes are paired before their members, so members of one class never meet here.
+    """
+    held = settle(_elements(texts.join(divided, "digest", "left_semi")))
+    often = held.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("digest").orderBy("n", "element")
+    first = (held.join(often, "element").withColumn("r", F.row_number().over(order))
+             # the other text has at least 4/5 of the shingles
+             .where("5 * (r - 1) <= size").where("n > 1")
+             .join(divided, "digest").select("element", "label", "digest", "size", "r"))
+    mixed = first.groupBy("element").agg(
+        F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
+    first = settle(first.join(mixed.select("element"), "element", "left_semi"))
+    sides = first.select("element", "label").distinct()
+    classes = sides.withColumnRenamed("label", "la").join(
+        sides.withColumnRenamed("label", "lb"), "element").where("la < lb")
+    x = first.select("element", F.col("label").alias("la"), F.col("digest").alias("da"),
+                     F.col("size").alias("sa"), F.col("r").alias("ra"))
+    y = first.select("element", F.col("label").alias("lb"), F.col("digest").alias("db"),
+                     F.col("size").alias("sb"), F.col("r").alias("rb"))
+    reach = "9 * (sa - ra + 1) >= 4 * (sa + sb) and 9 * (sb - rb + 1) >= 4 * (sa + sb)"
+    return (classes.join(x, ["element", "la"]).join(y, ["element", "lb"]).where(reach)
+            .select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
+            .distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
