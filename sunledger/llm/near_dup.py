@@ -280,18 +280,22 @@ def _prefix_pairs(divided: DataFrame, texts: DataFrame) -> DataFrame:
              .join(divided, "digest").select("element", "label", "digest", "size", "r"))
     mixed = first.groupBy("element").agg(
         F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
-    first = settle(first.join(mixed.select("element"), "element", "left_semi"))
-    sides = first.select("element", "label").distinct()
-    classes = sides.withColumnRenamed("label", "la").join(
-        sides.withColumnRenamed("label", "lb"), "element").where("la < lb")
-    x = first.select("element", F.col("label").alias("la"), F.col("digest").alias("da"),
-                     F.col("size").alias("sa"), F.col("r").alias("ra"))
-    y = first.select("element", F.col("label").alias("lb"), F.col("digest").alias("db"),
-                     F.col("size").alias("sb"), F.col("r").alias("rb"))
-    reach = "9 * (sa - ra + 1) >= 4 * (sa + sb) and 9 * (sb - rb + 1) >= 4 * (sa + sb)"
-    return (classes.join(x, ["element", "la"]).join(y, ["element", "lb"]).where(reach)
-            .select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
-            .distinct())
+    # the largest text that a shingle at this place can still find: 9 (x - r + 1) >= 4 (x + y)
+    first = settle(first.join(mixed.select("element"), "element", "left_semi").withColumn(
+        "most", F.expr("(5 * size - 9 * (r - 1)) / 4")))
+    sides = first.groupBy("element", "label").agg(
+        F.min("size").alias("least"), F.max("most").alias("most"))
+    la, lb = (sides.select("element", *(F.col(c).alias(c + e) for c in ("label", "least", "most")))
+              for e in ("_p", "_q"))
+    classes = la.join(lb, "element").where(
+        "label_p < label_q and most_p >= least_q and most_q >= least_p")
+    x, y = (first.select("element", F.col("label").alias("label" + e), F.col("digest").alias(d),
+                         F.col("size").alias("size" + e), F.col("most").alias("reach" + e))
+            for e, d in (("_p", "a"), ("_q", "b")))
+    found = classes.join(x, ["element", "label_p"]).where(
+        "reach_p >= least_q and most_q >= size_p").join(y, ["element", "label_q"]).where(
+        "reach_p >= size_q and reach_q >= size_p")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

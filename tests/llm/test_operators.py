@@ -248,10 +248,12 @@ def test_token_counts_of_all_prefixes(docs, empty, texts):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def shingles(t):
+    w = WORD.findall(t.lower())
+    return collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+
+
 def near_classes(rows):
-    def shingles(t):
-        w = WORD.findall(t.lower())
-        return collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
     bags = [shingles(t or "") for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -291,6 +293,31 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty, texts):
     assert near_dup.near_duplicates(empty).count() == near_dup.keep_one(empty).count() == 0
 
 
+def test_rarest_shingles_find_every_similar_pair(spark):
+    rng = random.Random(21)
+    rows = []
+    for c in range(3):  # clouds whose texts meet each other at about 0.8
+        base = sentence(rng, 60 + 5 * c).split(" ")
+        for n in range(25):
+            copy = list(base)
+            for k in rng.sample(range(len(base)), rng.choice((0, 1, 1, 2))):
+                copy[k] = rng.choice(("one", "two", f"w{rng.random()}"))
+            rows.append(" ".join(copy + base[:20] * (n % 3 == 0)))
+    rows = sorted(set(rows))
+    bags = [shingles(t) for t in rows]
+    both = lambda a, b: sum((a & b).values())
+    want = {(i, j) for j in range(len(rows)) for i in range(j)
+            if i % 7 != j % 7 and 9 * both(bags[i], bags[j]) >= 4 * (
+                sum(bags[i].values()) + sum(bags[j].values()))}
+    texts = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(rows)],
+                                  "digest string, text string")
+    divided = spark.createDataFrame([(f"{i:03d}", f"{i % 7}") for i in range(len(rows))],
+                                    "digest string, label string")
+    got = {(int(r["a"]), int(r["b"])) for r in near_dup._prefix_pairs(divided, texts).collect()}
+    assert want and want <= got
+    assert len(got) < len(rows) ** 2 / 4
+
+
 def test_signatures_agree_as_often_as_texts_are_similar():
     rng = random.Random(2)
     words = sentence(rng, 200).split(" ")
