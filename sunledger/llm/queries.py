@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sunledger.llm import (byte_bpe, decontamination, near_dup, pii, quality, repeats,
                            sharding, token_counts, topk, toxicity)
 from sunledger.llm.common import crc_fold, table
+from sunledger.llm.oracle import LLM_ORACLE
 
 N_SHARDS, TOKEN_LIMIT, CUT = 24, 1024, 0.3
 
@@ -84,4 +85,4 @@ LLM_QUERIES = {f.__name__: f for f in (
     op5_semi_markov_pii, op6_prefix_token_counts, op7_dart_minhash, op8_byte_bpe,
     op9_run_length_index, op10_weak_toxicity)}
 
-LLM_ORACLE: dict[str, str] = {}
+__all__ = ["LLM_ORACLE", "LLM_QUERIES"]
