@@ -78,8 +78,9 @@ def custom_runners(spark, sf):
         return test.select(F.col("label").cast("int").alias("y_true"),
                            (p > 0.2).cast("int").alias("y_pred"),
                            F.array(F.lit(1.0) - p, p).alias("prob"))
-    return _aucs(_run(spark, sf, modes=("ratio_rule", "not_supported"),
-                      custom_runners={"ratio_rule": ratio_rule}))
+    found = _aucs(_run(spark, sf, modes=("ratio_rule", "not_supported"),
+                       custom_runners={"ratio_rule": ratio_rule}))
+    return found.withColumn("auc", F.round("auc", 9))
 
 
 def importance_top(spark, sf):

@@ -123,12 +123,9 @@ CTES["schema_rows"] = """
 select * from wide where source_file = (select source_file
   from (select distinct source_file from wide)
   order by contains(source_file, 'fault'), source_file limit 1)"""
-CTES["sample"] = """
-select * from ((select * from schema_rows order by timestamp, event_id limit 1000)
-  union all (select * from schema_rows order by timestamp desc, event_id desc limit 1000))"""
 CTES["flat"] = " union all ".join(
     f'select \'{c}\' as "column", count(distinct {c}) + coalesce(max(case when {c} is null '
-    f"then 1 else 0 end), 0) as n_values from sample" for c in ALL_COLUMNS)
+    f"then 1 else 0 end), 0) as n_values from wide" for c in ALL_COLUMNS)
 CTES["roles"] = """
 select *, category in ('scada', 'iv_curve', 'stress') as included from (
   select c.name as "column", case
@@ -343,14 +340,23 @@ where included or category in ('meta', 'label')"""
 SQL["feature_set"] = """select mode, feature, cast(row_number() over (partition by mode
   order by block, nth) - 1 as int) as position from mode_sets"""
 SQL["estimate_capacity"] = """select cast(max(dc_power_kw) as double) * cast(1.05 as double)
-  as array_kwp from schema_rows"""
+  as array_kwp from wide"""
 SQL["batch_summary"] = """select
-  (select cast(max(dc_power_kw) as double) * cast(1.05 as double) from schema_rows) as array_kwp,
+  (select cast(max(dc_power_kw) as double) * cast(1.05 as double) from wide) as array_kwp,
   (select count(distinct loc_id) from sites) as n_sites,
   cast(count(*) filter (category = 'scada') as int) as n_scada,
   cast(count(*) filter (category = 'iv_curve') as int) as n_iv_curve,
   cast(count(*) filter (category = 'stress') as int) as n_stress,
   cast(count(*) filter (included) as int) as n_features from roles"""
+SQL["custom_runners"] = """select 'fault_active' as task, 'ratio_rule' as model,
+  round((sum(rk) filter (fault_active) - count(*) filter (fault_active)
+      * (count(*) filter (fault_active) + 1) / 2.0::double)
+    / (count(*) filter (fault_active) * cast(count(*) filter (not fault_active) as double)), 9)
+  as auc
+from (select fault_active, rank() over (order by p)
+    + (count(*) over (partition by p) - 1) / 2.0::double as rk
+  from (select fault_active, least(1, cast(dc_ac_power_ratio as double) / 5) as p
+    from feats join reg using (source_file) where split = 'test'))"""
 SQL["schema_file_pick"] = "select distinct source_file from schema_rows"
 SQL["parse_file_fault_type"] = "select source_file, file_fault_type from plain_reg"
 SQL["parse_run_id"] = """select source_file, stem, run_id

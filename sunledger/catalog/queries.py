@@ -86,8 +86,8 @@ def unseen(spark, sf):
 
 
 def _constants(spark, sf):
-    table = I.schema_rows(spark, sf)
-    return X.constant_columns(table, table.columns, ["timestamp", "event_id"])
+    table = I.rows(spark, sf, extended=True)
+    return X.constant_columns(table, table.columns)
 
 
 def constant_columns(spark, sf):
@@ -107,7 +107,7 @@ def feature_set(spark, sf):
 
 
 def estimate_capacity(spark, sf):
-    return X.estimate_capacity(I.schema_rows(spark, sf))
+    return X.estimate_capacity(I.rows(spark, sf))
 
 
 def batch_summary(spark, sf):

@@ -132,15 +132,18 @@ def feature_group(scores: DataFrame, groups: DataFrame) -> DataFrame:
             .withColumn("feature_group", F.coalesce("feature_group", F.lit("scada"))))
 
 
-def top_features(scores: DataFrame, score: str, n: int = 20) -> DataFrame:
-    return scores.orderBy(F.desc(score), "feature").limit(n)
+def top_features(scores: DataFrame, score: str, n: int | None = 20) -> DataFrame:
+    """Strongest features first; ``n=None`` ranks all of them."""
+    ranked = scores.orderBy(F.desc(score), "feature")
+    return ranked if n is None else ranked.limit(n)
 
 
-def importance_top(importances: DataFrame, groups: DataFrame, n: int = 20) -> DataFrame:
+def importance_top(importances: DataFrame, groups: DataFrame,
+                   n: int | None = None) -> DataFrame:
     return top_features(feature_group(importances, groups), "importance", n)
 
 
-def attribution_summary(attribution: DataFrame, n: int = 20) -> DataFrame:
+def attribution_summary(attribution: DataFrame, n: int | None = None) -> DataFrame:
     """Mean absolute attribution and the sign of the mean, strongest features first."""
     summary = attribution.groupBy("feature").agg(
         F.avg(F.abs("value")).alias("mean_abs"), F.avg("value").alias("mean_signed"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -26,7 +27,6 @@ from sunledger.session import settle
 
 ROWS_PER_SLICE = 2_000_000
 CELLS_PER_SLICE = 32
-MAX_LEVELS = 4
 BROADCAST_ROWS = 500_000
 
 SLICE, BASE, HALO = "_slice", "_base", "_halo"
@@ -109,7 +109,7 @@ def slice_rows(df: DataFrame, group: list[str], ordinal: Column, reach: int = 0,
 
     rows, levels, leaves = keyed, [], []
     bounds, n_bounds, parents = hot, n_hot, list(group)
-    for level in range(1, MAX_LEVELS + 1):
+    for level in count(1):  # a cell narrows at every level, so this ends
         cell = f"_c{level}"
         hinted = F.broadcast(bounds) if n_bounds <= BROADCAST_ROWS else bounds
         rows = (join_groups(rows, hinted, parents, "left")
@@ -118,9 +118,12 @@ def slice_rows(df: DataFrame, group: list[str], ordinal: Column, reach: int = 0,
         levels, parents = [*levels, cell], [*parents, cell]
         counts, _ = counted(rows.where(F.col(cell) != WHOLE).groupBy(*parents).agg(
             F.count(F.lit(1)).alias("_n"), F.min("_ord").alias("_lo"), F.max("_ord").alias("_hi")))
-        crowded = F.coalesce((F.col("_n") > target) & (F.col("_hi") > F.col("_lo")), F.lit(False))
+        # finite ranges only: others cannot be narrowed
+        span = F.col("_hi") - F.col("_lo")
+        crowded = F.coalesce((F.col("_n") > target) & (span > 0) & (span < float("inf")),
+                             F.lit(False))
         bounds = counts.where(crowded)
-        n_bounds = 0 if level == MAX_LEVELS else bounds.count()
+        n_bounds = bounds.count()
         if n_bounds == 0:
             leaves.append(counts)
             break

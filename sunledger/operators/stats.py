@@ -204,11 +204,11 @@ def head_tail_sample(rows: DataFrame, order: Sequence[str], n: int = 1000) -> Da
     return head.unionByName(tail)
 
 
-def constant_columns(rows: DataFrame, names: Sequence[str], order: Sequence[str],
-                     n: int | None = 1000) -> DataFrame:
-    """Columns with at most one value (NULL counts as one) in the first and last ``n`` rows.
+def constant_columns(rows: DataFrame, names: Sequence[str], order: Sequence[str] = (),
+                     n: int | None = None) -> DataFrame:
+    """Columns with at most one value; NULL counts as one.
 
-    ``n=None`` looks at every row.  One aggregate of minima, maxima and NULL counts; maps
+    Every row counts unless ``n`` asks for the first and last ``n`` rows alone.  One aggregate of minima, maxima and NULL counts; maps
     have no order and are never reported.
     """
     sample = head_tail_sample(rows, order, n).drop("part") if n else rows

@@ -20,6 +20,8 @@ from sunledger.sources.manifest import (
 from sunledger.sources.telemetry import list_batch_files, scan_batch
 
 TARGETS = (P.DETECTION, P.CLASSIFICATION)
+#: listed files whose names the scan itself is given; more are found by the join alone
+NAMED_FILES = 10_000
 
 
 @dataclass
@@ -46,13 +48,20 @@ def open_dataset(spark: SparkSession, data_dir: str, years: Sequence[int] | None
         files = R.file_registry(list_batch_files(spark, data_dir, location_filter))
         registry = R.assign_splits(R.limit_runs(files, max_runs) if max_runs else files)
     registry = settle(registry)
-    rows = scan_batch(spark, data_dir, batch.load_columns, years, batch.pattern, location_filter)
     listed = broadcast_checked(registry.select("source_file"))
+    rows = scan_batch(spark, data_dir, batch.load_columns, years, batch.pattern, location_filter,
+                      batch.schema, named_files(registry))
     rows = rows.join(listed, "source_file", "left_semi")
     return Dataset(batch, registry, rows,
                    add_features(rows, batch.array_kwp, lookback=lookback))
 
 
+def named_files(registry: DataFrame) -> list[str] | None:
+    """Names of the registry's files, for the scan to skip all others; None if they are many."""
+    names = [r[0] for r in registry.select("source_file").limit(NAMED_FILES + 1).collect()]
+    return names if len(names) <= NAMED_FILES else None
+
+
 def explore(data: Dataset) -> dict[str, DataFrame]:
     """The exploration tables over one settled feature table."""
     table = settle(data.features)
@@ -88,13 +97,12 @@ def train(data: Dataset, out_dir: str, modes: Sequence[str] = ("random_forest",)
     return results
 
 
-def evaluate(spark: SparkSession, data_dir: str, out_dir: str,
-             max_rows: int | None = None) -> DataFrame:
+def evaluate(spark: SparkSession, data_dir: str, out_dir: str) -> DataFrame:
     """Score the manifest's test files with its models and rank them; also written as CSV."""
     registry, _ = load_manifest(spark, f"{out_dir}/manifest")
     data = open_dataset(spark, data_dir, registry=registry.where(F.col("split") == "test"))
     table = settle(data.features)
-    results = [ST.evaluate_saved(table, f"{out_dir}/manifest", t, max_rows) for t in TARGETS]
+    results = [ST.evaluate_saved(table, f"{out_dir}/manifest", t) for t in TARGETS]
     comparison = ST.compare_models([r for r in results if r.models])
     write_metrics_csv(comparison, f"{out_dir}/model_comparison")
     return comparison

@@ -332,8 +332,7 @@ class TaskResult:
 def run_task(features: DataFrame, registry: DataFrame, target: str, names: Sequence[str],
              modes: Sequence[str] = ("random_forest",), *, window_size: int | None = None,
              stride: int | None = None, max_train_rows: int | None = None,
-             max_test_rows: int | None = None, majority_thin_factor: int = 1,
-             rows_per_batch: int | None = None, files_per_batch: int = 10,
+             majority_thin_factor: int = 1, rows_per_batch: int | None = None, files_per_batch: int = 10,
              scada: Sequence[str] | None = None, tabular_params: dict[str, dict] | None = None,
              sequence_params: dict[str, dict] | None = None,
              custom_runners: dict[str, Callable] | None = None) -> TaskResult:
@@ -358,7 +357,7 @@ def run_task(features: DataFrame, registry: DataFrame, target: str, names: Seque
     tabular = [m for m in modes if m in TABULAR]
     params = tabular_params or {}
     if tabular:
-        test = task.label_rows(cap_rows(sides["test"], max_test_rows))
+        test = task.label_rows(sides["test"])
         train_rows = S.thin_majority(sides["train"], majority_thin_factor)
         if not rows_per_batch:
             train_rows = cap_rows(train_rows, max_train_rows)

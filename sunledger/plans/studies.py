@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -13,14 +13,13 @@ from sunledger.operators import registry as R
 from sunledger.operators.features import add_features
 from sunledger.operators.skew import broadcast_checked
 from sunledger.plans.models import (
-    CLASSIFICATION, DETECTION, ModelResult, Task, TaskResult, cap_rows, run_task, score,
-    split_rows, task_matrix)
+    CLASSIFICATION, DETECTION, ModelResult, Task, TaskResult, run_task, score, split_rows,
+    task_matrix)
 from sunledger.session import settle
 from sunledger.sources.manifest import load_manifest, load_model
 
 #: model runs of a study that are in flight at the same time
 PARALLELISM = 4
-STUDY_SCHEMA = "model_mode string, detection_auc double, classification_auc double"
 
 
 def run_each(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
@@ -30,25 +29,21 @@ def run_each(spark: SparkSession, work: Callable, items: Sequence, parallelism:
         return [job.result() for job in jobs]
 
 
-def both_tasks(features: DataFrame, folds: Sequence[DataFrame], names: Sequence[str],
-               modes: Sequence[str], parallelism: int, **options
-               ) -> list[dict[str, dict[str, float | None]]]:
-    """Per fold and mode, the AUC of detection and of classification on the same splits."""
-    tasks = ((DETECTION, "detection_auc"), (CLASSIFICATION, "classification_auc"))
+def fold_aucs(features: DataFrame, folds: Mapping[str, DataFrame], names: Sequence[str],
+              modes: Sequence[str], parallelism: int, **options) -> DataFrame:
+    """One row per fold and mode: the AUC of either task, NULL where it is undefined."""
+    def rows(fold: str, target: str) -> list[tuple]:
+        result = run_task(features, folds[fold], target, names, modes, **options)
+        return [(fold, mode, target, auc) for mode, auc in result.aucs().items()]
 
-    def aucs(fold: DataFrame, target: str) -> dict[str, float | None]:
-        return run_task(features, fold, target, names, modes, **options).aucs()
-
-    found = run_each(features.sparkSession, aucs,
-                     [(fold, target) for fold in folds for target, _ in tasks], parallelism)
-    out = []
-    for i in range(len(folds)):
-        by_mode: dict[str, dict[str, float | None]] = {}
-        for (_, key), values in zip(tasks, found[2 * i:2 * i + 2]):
-            for mode, value in values.items():
-                by_mode.setdefault(mode, {})[key] = value
-        out.append(by_mode)
-    return out
+    spark = features.sparkSession
+    runs = run_each(spark, rows, [(f, t) for f in folds for t in (DETECTION, CLASSIFICATION)],
+                    parallelism)
+    long = spark.createDataFrame([row for run in runs for row in run],
+                                 "fold string, model_mode string, task string, auc double")
+    return long.groupBy("fold", "model_mode").agg(*[
+        F.max(F.when(F.col("task") == task, F.col("auc"))).alias(name)
+        for task, name in ((DETECTION, "detection_auc"), (CLASSIFICATION, "classification_auc"))])
 
 
 def temporal_features(rows: DataFrame, array_kwp: float | None,
@@ -71,13 +66,9 @@ def temporal_split_study(rows: DataFrame, array_kwp: float | None, registry: Dat
                          parallelism: int = PARALLELISM, **options) -> DataFrame:
     """Train on the early years of every pool file, test on the last year."""
     folds = settle(R.temporal_folds(rows, registry).where(F.col("split") != "unused"))
-    found = []
-    if folds.limit(1).count():
-        features = settle(temporal_features(rows, array_kwp, registry))
-        by_mode, = both_tasks(features, [folds], names, modes, parallelism, **options)
-        for mode, auc in by_mode.items():
-            found.append((mode, auc.get("detection_auc"), auc.get("classification_auc")))
-    return registry.sparkSession.createDataFrame(found, STUDY_SCHEMA)
+    filled = {"last year": folds} if folds.limit(1).count() else {}
+    features = settle(temporal_features(rows, array_kwp, registry)) if filled else rows
+    return fold_aucs(features, filled, names, modes, parallelism, **options).drop("fold")
 
 
 def cross_location_study(features: DataFrame, registry: DataFrame, file_sites: DataFrame,
@@ -85,18 +76,13 @@ def cross_location_study(features: DataFrame, registry: DataFrame, file_sites: D
                          modes: Sequence[str] = ("random_forest",),
                          parallelism: int = PARALLELISM, **options) -> DataFrame:
     """Hold out one site at a time; a site whose AUC is undefined keeps a NULL."""
-    spark = registry.sparkSession
     folds = settle(R.location_folds(registry, file_sites).where(F.col("split") != "unused"))
     sites = [r["test_loc_id"] for r in
              folds.select("test_loc_id").distinct().orderBy("test_loc_id").collect()]
     # one model run per held-out site and task
-    by_site = both_tasks(features, [folds.where(F.col("test_loc_id") == s) for s in sites],
-                         names, modes, parallelism, **options)
-    rows = [(mode, site, auc.get("detection_auc"), auc.get("classification_auc"))
-            for site, by_mode in zip(sites, by_site) for mode, auc in by_mode.items()]
-    results = spark.createDataFrame(
-        rows, "model_mode string, test_loc_id string, detection_auc double, "
-              "classification_auc double")
+    by_site = {s: folds.where(F.col("test_loc_id") == s) for s in sites}
+    results = fold_aucs(features, by_site, names, modes, parallelism,
+                        **options).withColumnRenamed("fold", "test_loc_id")
     lat, lon = (F.split_part("test_loc_id", F.lit("_"), F.lit(i)).cast("double") for i in (1, 2))
     points = results.select(lat.alias("latitude"), lon.alias("longitude")).distinct()
     named = R.site_name(points, site_names)
@@ -123,13 +109,12 @@ def ablation_study(features: DataFrame, registry: DataFrame, columns: dict[str,
         rows, "model_mode string, feature_set string, n_features int, auc double")
 
 
-def evaluate_saved(features: DataFrame, manifest_path: str, target: str,
-                   max_rows: int | None = None) -> TaskResult:
+def evaluate_saved(features: DataFrame, manifest_path: str, target: str) -> TaskResult:
     """Score the manifest's held-out files with the models it lists for a task."""
     spark = features.sparkSession
     registry, header = load_manifest(spark, manifest_path)
     files = registry if target == DETECTION else R.drop_healthy_files(registry)
-    rows = cap_rows(split_rows(features, files, "test"), max_rows)
+    rows = split_rows(features, files, "test")
     result = TaskResult(target)
     for mode, path in header["model_paths"].get(target, {}).items():
         model, names, class_names = load_model(path)

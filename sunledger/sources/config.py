@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sunledger.functions.columns import category_lists, classify_columns, feature_set
 from sunledger.functions.expressions import loc_id
 from sunledger.operators.registry import first_row_per_file
 from sunledger.operators.stats import constant_columns, estimate_capacity
 from sunledger.sources.telemetry import (
-    RUN_PATTERNS, batch_pattern, file_order, scan_batch, schema_file)
+    RUN_PATTERNS, batch_pattern, scan_batch, schema_file)
 
 CONFIG_SCHEMA = (
     "installation_fixed struct<array_power_kWp: double, system_area_m2: double>, "
@@ -72,16 +72,18 @@ class Batch:
     array_kwp: float | None = None
     columns: dict[str, list[str]] = field(default_factory=dict)
     sites: DataFrame | None = None
+    schema: T.StructType | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, data_dir: str) -> Batch:
         first = schema_file(spark, data_dir).first()
-        sample = spark.read.parquet(first["path"])
-        names = sample.columns
-        sample = scan_batch(spark, data_dir, pattern=first["source_file"])
-        constants = constant_columns(sample, names, file_order(sample))
-        batch = cls(spark, data_dir, batch_pattern(spark, data_dir, (*RUN_PATTERNS, "*.parquet")),
-                    columns=category_lists(classify_columns(sample.select(*names), constants)))
+        # the schema of one file holds for the whole batch
+        schema = spark.read.parquet(first["path"]).schema
+        pattern = batch_pattern(spark, data_dir, (*RUN_PATTERNS, "*.parquet"))
+        runs = scan_batch(spark, data_dir, pattern=pattern, schema=schema)
+        constants = constant_columns(runs, schema.names)
+        batch = cls(spark, data_dir, pattern, schema=schema, columns=category_lists(
+            classify_columns(runs.select(*schema.names), constants)))
         has_config = spark.read.format("binaryFile").option(
             "pathGlobFilter", "batch_config.json").load(data_dir).select("path").limit(1).count()
         if has_config:
@@ -90,9 +92,9 @@ class Batch:
             batch.sites = config_sites(config)
         if batch.sites is None or not batch.sites.limit(1).count():
             batch.sites = discovered_sites(scan_batch(
-                spark, data_dir, ["latitude", "longitude"], pattern="*.parquet"))
-        if batch.array_kwp is None and "dc_power_kw" in names:
-            batch.array_kwp = estimate_capacity(sample).first()["array_kwp"]
+                spark, data_dir, ["latitude", "longitude"], pattern="*.parquet", schema=schema))
+        if batch.array_kwp is None and "dc_power_kw" in schema.names:
+            batch.array_kwp = estimate_capacity(runs).first()["array_kwp"]
         return batch
 
     def feature_set(self, mode: str = "full") -> list[str]:

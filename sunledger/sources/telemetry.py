@@ -104,13 +104,18 @@ def pick_schema_file(files: DataFrame) -> DataFrame:
 def scan_batch(spark: SparkSession, data_dir: str, columns: Sequence[str] | None = None,
                years: Sequence[int] | None = None, pattern: str = "*_noisy.parquet",
                location_filter: str | None = None,
-               schema: T.StructType | None = None) -> DataFrame:
+               schema: T.StructType | None = None,
+               files: Sequence[str] | None = None) -> DataFrame:
     """All run files of a batch as one pruned scan, keyed by ``source_file``.
 
-    ``row_index`` is the position in the file, the order the rolling features follow.
+    ``row_index`` is the position in the file, the order the rolling features follow.  A
+    given ``schema`` holds for every file: columns a file lacks are NULL.  Given names of
+    ``files``, the others are not opened.
     """
     reader = spark.read.option("pathGlobFilter", pattern)
     frame = (reader.schema(schema) if schema else reader).parquet(data_dir)
+    if files is not None:
+        frame = frame.where(F.col("_metadata.file_name").isin(list(files)))
     wanted = [c for c in (columns or frame.columns) if c in frame.columns]
     if years and "sim_year" not in wanted and "sim_year" in frame.columns:
         wanted.append("sim_year")

@@ -159,3 +159,26 @@ def test_registry_of_scanned_files(spark, batch_dir):
     table = {r["source_file"]: r["file_fault_type"] for r in file_registry(
         list_batch_files(spark, batch_dir)).collect()}
     assert table["r3_siteB_fault_dust_noisy.parquet"] == "dust"
+
+
+def test_columns_of_the_schema_file_survive_files_that_lack_them(spark, batch_dir, tmp_path):
+    for i in range(6):
+        frame = spark.read.parquet(f"{batch_dir}/r1_siteA_noisy.parquet").toPandas()
+        if i == 1:
+            frame = frame.drop(columns="voc_v")
+        name = f"r{i}_fault_pid_noisy.parquet" if i == 1 else f"r{i}_noisy.parquet"
+        frame.to_parquet(tmp_path / name, index=False)
+    from sunledger.plans.flows import open_dataset
+    data = open_dataset(spark, str(tmp_path))
+    assert "voc_v" in data.features.columns
+    empty = data.features.groupBy("source_file").agg(F.count("voc_v").alias("n")).where("n = 0")
+    assert [r["source_file"] for r in empty.collect()] == ["r1_fault_pid_noisy.parquet"]
+
+
+def test_a_scan_of_named_files_opens_no_other(spark, batch_dir):
+    name = "r1_siteA_noisy.parquet"
+    rows = scan_batch(spark, batch_dir, ["ac_power_kw"], files=[name])
+    assert {r[0] for r in rows.select("source_file").distinct().collect()} == {name}
+    rows.collect()
+    scan = rows._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numFiles").value() == 1
