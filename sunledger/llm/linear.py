@@ -11,23 +11,33 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
+#: weight of the squared coefficients in the loss
+RIDGE = 1e-3
+
+
 class Linear:
     """``sigmoid(((x - mean) / scale) @ w + b)``; constant features have no influence."""
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, b: float) -> None:
         self.mean, self.scale, self.w, self.b = mean, scale, w, b
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8.0, 8.0)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8.0, 8.0)
-        return sigmoid(z @ self.w + self.b)
+        return sigmoid(self.scaled(x) @ self.w + self.b)
+
+
+def frame(mean: np.ndarray, spread: np.ndarray) -> Linear:
+    """A model without weights yet, for rows of this mean and deviation."""
+    return Linear(mean, np.where(spread > 1e-9, spread, 1e9), np.zeros(len(mean)), 0.0)
 
 
 def fit(x: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], bias: float = 0.0,
-        rounds: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> Linear:
+        rounds: int = 400, rate: float = 0.05, ridge: float = RIDGE) -> Linear:
     """Minimise a loss whose gradient with respect to the margins is ``gradient(margins)``."""
-    mean, spread = x.mean(0), x.std(0)
-    scale = np.where(spread > 1e-9, spread, 1e9)
-    z = np.clip((x - mean) / scale, -8.0, 8.0)
+    start = frame(x.mean(0), x.std(0))
+    z = start.scaled(x)
     w = np.zeros(x.shape[1] + 1)
     w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -36,4 +46,4 @@ def fit(x: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], bias: float
         full = np.append(z.T @ g + ridge * w[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full ** 2
         w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    return Linear(mean, scale, w[:-1], float(w[-1]))
+    return Linear(start.mean, start.scale, w[:-1], float(w[-1]))

@@ -4,7 +4,8 @@ Voters look at a text: lexicons (a short general one and shards of a lexicon of
 labelled toxic documents use far more often), how many lexicon words there are, and patterns.
 A generative label model estimates, over the votes of all documents, how accurate each voter
 is and which voters move together beyond what the label explains; correlated voters share one
-weight.  Its posterior labels train a linear classifier on words and votes.
+weight.  Its posterior labels train a linear classifier on words and votes, over all patterns of
+words and votes that occur.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sunledger.llm import linear
@@ -23,9 +27,10 @@ from sunledger.session import settle
 #: fixed values: a short general lexicon of insults
 SEED_WORDS = ("bastard", "clown", "disgusting", "idiot", "idiots", "imbecile", "loser", "losers",
               "moron", "morons", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
-#: bounds of the fit: labelled documents read for the lexicon (of each class), lexicon words,
-#: posterior-labelled rows
-LEXICON_DOCS, LEXICON_WORDS, FIT_ROWS = 20_000, 256, 20_000
+#: bounds of the fit: labelled documents read for the lexicon (of each class), lexicon words
+LEXICON_DOCS, LEXICON_WORDS = 20_000, 256
+#: patterns in one task of the classifier's fit, about 100 MB as vectors
+TASK_PATTERNS = 20_000
 SHARDS = 5
 N_VOTERS = SHARDS + 5
 
@@ -187,6 +192,48 @@ def vote(docs: DataFrame, voters: Voters, keep: list[str], text: str = "text") -
         run, f"{kinds}found array<smallint>, votes array<tinyint>")
 
 
+def _vectors(patterns: DataFrame, voters: Voters, model: LabelModel,
+             frame: linear.Linear | None = None) -> DataFrame:
+    """Features, weight and posterior of every pattern; features as ``frame`` scales them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024).to_pydict()
+                x = np.array([voters.vector(f, v) for f, v in zip(rows["found"], rows["votes"])])
+                target = model.posterior(np.array(rows["votes"], np.int8))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(frame.scaled(x) if frame else x), pa.list_(pa.float64())),
+                     pa.array(np.sqrt(np.array(rows["n"], float))), pa.array(target)],
+                    names=["x", "share", "target"])
+    return patterns.select("votes", "found", "n").mapInArrow(
+        run, "x array<double>, share double, target double").select(
+        array_to_vector("x").alias("x"), "share", "target")
+
+
+def fit(patterns: DataFrame, voters: Voters, model: LabelModel) -> linear.Linear:
+    """The final classifier over all patterns, each with the square root of its count as weight.
+
+    The loss is that of ``linear.fit``; its gradient is summed up on the executors.
+    """
+    n = patterns.count()
+    spread = patterns.repartition(1 + n // TASK_PATTERNS)
+    seen = _vectors(spread, voters, model).agg(
+        Summarizer.metrics("mean", "variance").summary(F.col("x")).alias("s")).first()["s"]
+    # the population's deviation
+    frame = linear.frame(seen["mean"].toArray(), np.sqrt(
+        np.maximum(seen["variance"].toArray(), 0.0) * (n - 1) / n))
+    # a posterior label is one row of either class, weighted by its probability
+    sides = F.explode(F.array(*[
+        F.struct(F.lit(y).alias("label"), (F.col("share") * part).alias("weight"))
+        for y, part in ((0.0, 1 - F.col("target")), (1.0, F.col("target")))]))
+    rows = _vectors(spread, voters, model, frame).select(F.col("x").alias("features"),
+                                                         sides.alias("_s"))
+    fitted = LogisticRegression(weightCol="weight", regParam=linear.RIDGE, standardization=False,
+                                maxIter=200, tol=1e-9).fit(rows.select("features", "_s.*"))
+    return linear.Linear(frame.mean, frame.scale, fitted.coefficients.toArray(),
+                         float(fitted.intercept))
+
+
 def learn(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
           text: str = "text", label: str = "toxic") -> tuple[Voters, linear.Linear | None]:
     """Lexicon, label model over the votes of all documents, and the final classifier.
@@ -195,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id"
     """
     voters = Voters(lexicon(docs, labels, train, key, text, label))
     cast = vote(docs, voters, [], text)
-    # vote patterns number at most 3 ** N_VOTERS, distinct rows of features FIT_ROWS
+    # vote patterns number at most 3 ** N_VOTERS; the distinct rows of features stay distributed
     patterns = cast.groupBy("votes", "found").agg(F.count(F.lit(1)).alias("n"))
     patterns = settle(patterns)
     by_votes = patterns.groupBy("votes").agg(F.sum("n").alias("n")).collect()
@@ -203,13 +250,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id"
     if not (votes == 1).any():
         return voters, None
     model = LabelModel(votes, np.array([float(r["n"]) for r in by_votes]))
-    rows = patterns.orderBy(F.desc("n"), F.xxhash64("votes", "found")).limit(FIT_ROWS).collect()
-    x = np.array([voters.vector(list(r["found"]), list(r["votes"])) for r in rows])
-    target = model.posterior(np.array([list(r["votes"]) for r in rows], np.int8))
-    share = np.sqrt(np.array([float(r["n"]) for r in rows]))
-    share /= share.sum()
-    fitted = linear.fit(x, lambda m: share * (linear.sigmoid(m) - target), rounds=600)
-    return voters, fitted
+    return voters, fit(patterns, voters, model)
 
 
 def scorer(voters: Voters, model: linear.Linear | None):

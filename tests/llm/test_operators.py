@@ -401,3 +401,40 @@ def test_toxicity_learns_a_lexicon_and_scores(spark, empty):
     assert toxicity.drop_toxic(docs, voters, model, 0.3).count() == 602 - 75
     nothing, none = toxicity.learn(empty, labels, F.lit(True))
     assert toxicity.score(empty, nothing, none, ["doc_id"]).count() == 0
+
+
+def test_toxicity_is_fitted_on_every_pattern(spark, monkeypatch):
+    """A fit that reads the most frequent patterns alone never sees the toxic ones."""
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 2, raising=False)
+    monkeypatch.setattr(toxicity, "TASK_PATTERNS", 50, raising=False)
+    rng = random.Random(11)
+    bad = ["grumpf", "zorkel", "blarg", "snarv", "quibz", "vlont", "drask", "plimf"]
+    rows = [(i, sentence(rng, 20)) for i in range(500)]
+    rows += [(500 + i, sentence(rng, 10) + " " + " ".join(rng.sample(bad, 3 + i % 4)))
+             for i in range(120)]
+    rows += [(700 + i, sentence(rng, 10) + " " + rng.choice(bad)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(500 <= i < 620)) for i, _ in rows],
+                                   "doc_id long, toxic int")
+    voters, model = toxicity.learn(docs, labels, F.lit(True))
+    assert set(bad) <= set(voters.words)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(
+        docs, voters, model, ["doc_id"]).collect()}
+    assert all((scored[i] >= 0.3) == (500 <= i < 620) for i in scored)
+
+    # the same as a fit of all patterns on one machine
+    kinds = collections.Counter(
+        (tuple(f), tuple(v)) for f, v in (voters.hits(t) for _, t in rows))
+    assert len(kinds) > 50
+    x = np.array([voters.vector(list(f), list(v)) for f, v in kinds])
+    by_votes = collections.Counter()
+    for (_, v), n in kinds.items():
+        by_votes[v] += n
+    labeller = toxicity.LabelModel(np.array(list(by_votes), np.int8),
+                                   np.array(list(by_votes.values()), float))
+    target = labeller.posterior(np.array([v for _, v in kinds], np.int8))
+    share = np.sqrt(np.array(list(kinds.values()), float))
+    share /= share.sum()
+    near = toxicity.linear.fit(
+        x, lambda m: share * (toxicity.linear.sigmoid(m) - target), rounds=4000)
+    assert np.abs(near.scores(x) - model.scores(x)).max() < 0.02
