@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import (
+    MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sunledger.functions.expressions import seeded_digest
 from sunledger.operators import metrics as M
@@ -195,13 +196,32 @@ def deployment_model(mode: str, train: DataFrame, test: DataFrame, names: Sequen
                        label=f"{mode}_deployment", **params)
 
 
+def join_forests(forests: Sequence[RandomForestClassificationModel]
+                 ) -> RandomForestClassificationModel:
+    """One forest of all trees: its probabilities are the forests' means weighted by trees."""
+    sc = SparkSession.active().sparkContext
+    kinds = sc._jvm.org.apache.spark.ml.classification
+    trees = [tree for f in forests for tree in f._java_obj.trees()]
+    listed = sc._gateway.new_array(kinds.DecisionTreeClassificationModel, len(trees))
+    for i, tree in enumerate(trees):
+        listed[i] = tree
+    first = forests[0]._java_obj
+    joined = first.copyValues(kinds.RandomForestClassificationModel(
+        first.uid(), listed, first.numFeatures(), first.numClasses()), first.extractParamMap())
+    joined.set(joined.numTrees().w(len(trees)))
+    model = RandomForestClassificationModel(joined)
+    model._transfer_params_from_java()
+    return model
+
+
 def batched_forest(train: DataFrame, test: DataFrame, entries: DataFrame, names: Sequence[str],
                    task: Task, files_per_batch: int = 10, rows_per_batch: int | None = None,
-                   num_trees: int = 200, **params) -> ModelResult | None:
+                   num_trees: int = 200, label: str = "batched_forest",
+                   **params) -> ModelResult | None:
     """A forest grown over class-balanced file batches.
 
     The trees are shared out evenly, one more to the first batches if they don't divide; class
-    weights are fixed once over all training rows; probabilities are averaged by trees.
+    weights are fixed once over all training rows; the batches' trees make one forest.
     """
     present, _ = feature_columns(train, names)
     batches = settle(R.class_balanced_batches(entries, files_per_batch))
@@ -229,25 +249,11 @@ def batched_forest(train: DataFrame, test: DataFrame, entries: DataFrame, names:
         if not part.isEmpty():
             fitted = random_forest(numTrees=trees, **params).fit(
                 assembler(present).transform(part))
-            models.append((trees, fitted))
+            models.append(fitted)
     if not models:
         return None
-    scored = assembler(present).transform(task_matrix(test, present)).select("label", "features")
-    columns = []
-    for i, (trees, fitted) in enumerate(models):
-        fitted.setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"p{i}")
-        scored = fitted.transform(scored)
-        columns.append((F.col(f"a{i}"), trees))
-        scored = scored.withColumn(f"a{i}", vector_to_array(f"p{i}")).drop(f"p{i}")
-    total = float(sum(trees for trees, _ in models))
-    prob = F.array(*[
-        reduce(lambda a, b: a + b, [F.element_at(c, k) * (t / total) for c, t in columns])
-        for k in range(1, task.n_classes + 1)])
-    predictions = scored.select(F.col("label").cast("int").alias("y_true"), prob.alias("prob")
-                                ).select(F.lit("batched_forest").alias("model"), "y_true",
-                                         (F.array_position("prob", F.array_max("prob")) - 1)
-                                         .cast("int").alias("y_pred"), "prob")
-    return _result("batched_forest", present, predictions, task, None)
+    model = PipelineModel(stages=[assembler(present), join_forests(models)])
+    return _result(label, present, score(model, task_matrix(test, present), label), task, model)
 
 
 # --- sequences -----------------------------------------------------------------------------------
@@ -368,13 +374,17 @@ def run_task(features: DataFrame, registry: DataFrame, target: str, names: Seque
             for mode in tabular:
                 settings = params.get(mode, {})
                 if rows_per_batch and mode == "random_forest":
-                    grown = batched_forest(
-                        train, test, entries.where("split = 'train'"), names, task,
-                        files_per_batch, rows_per_batch,
-                        settings.get("numTrees", 200),
-                        **{k: v for k, v in settings.items() if k != "numTrees"})
-                    if grown:
-                        result.models[mode] = grown
+                    kinds = {mode: ("batched_forest", names)}
+                    if scada is not None:
+                        kinds[f"{mode}_deployment"] = (
+                            "batched_forest_deployment", [n for n in names if n in set(scada)])
+                    for kind, (label, chosen) in kinds.items():
+                        grown = batched_forest(
+                            train, test, entries.where("split = 'train'"), chosen, task,
+                            files_per_batch, rows_per_batch, settings.get("numTrees", 200), label,
+                            **{k: v for k, v in settings.items() if k != "numTrees"})
+                        if grown:
+                            result.models[kind] = grown
                     continue
                 result.models[mode] = run_tabular(mode, train, test, names, task, **settings)
                 if scada is not None:

@@ -93,6 +93,38 @@ def test_batched_forest_splits_its_trees(data):
     assert forest.predictions.where(F.size("prob") != len(result.class_names)).count() == 0
 
 
+def test_batched_forest_keeps_its_model_and_its_deployment_twin(spark, data):
+    table, files = data
+    scada = ["dc_ac_power_ratio", "power_step", "hour_sin"]
+    result = P.run_task(table, files, P.CLASSIFICATION, NAMES, rows_per_batch=300,
+                        files_per_batch=3, scada=scada, **FOREST)
+    assert set(result.models) == {"random_forest", "random_forest_deployment"}
+    assert result.models["random_forest_deployment"].feature_names == [
+        n for n in NAMES if n in scada]
+    paths = {}
+    for mode, fitted in result.models.items():
+        assert fitted.model.stages[-1].getNumTrees == SMALL["numTrees"]
+        assert P.importances(fitted).count() == len(fitted.feature_names)
+        paths[mode] = MF.save_model(fitted.model, scratch_path(spark, "model"),
+                                    fitted.feature_names, result.class_names)
+    listing = MF.save_manifest(files, scratch_path(spark, "manifest"), {P.CLASSIFICATION: paths})
+    assert ST.evaluate_saved(table, listing, P.CLASSIFICATION).aucs() == result.aucs()
+
+
+def test_joined_forests_average_by_trees(spark):
+    rows = spark.range(400).select((F.col("id") % 7 > 3).cast("double").alias("label"),
+                                   (F.col("id") % 7).cast("double").alias("a"),
+                                   (F.col("id") % 5).cast("double").alias("b"),
+                                   F.lit(1.0).alias("weight"))
+    rows = P.assembler(["a", "b"]).transform(rows)
+    forests = [P.random_forest(numTrees=n, maxDepth=2, seed=n).fit(rows.sample(0.3, seed=n))
+               for n in (1, 4)]
+    assert P.join_forests(forests).getNumTrees == 5
+    prob = [[r[0].toArray() for r in f.transform(rows).select("probability").collect()]
+            for f in (*forests, P.join_forests(forests))]
+    assert all(abs(j - (a + 4 * b) / 5).max() < 1e-12 for a, b, j in zip(*prob))
+
+
 def test_balance_levels_the_classes(spark):
     rows = spark.range(1311).select("id", F.when(F.col("id") < 1000, 0.0).when(
         F.col("id") < 1010, 1.0).when(F.col("id") == 1010, 2.0).otherwise(3.0).alias("label"))
