@@ -180,3 +180,13 @@ def test_studies(spark, sf, data):
 def test_model_queries_are_all_registered():
     import __spark_entry__ as entry
     assert set(MQ.MODEL_QUERIES) <= set(entry.queries())
+
+
+def test_random_forest_query_runs_the_library_settings(spark, sf, monkeypatch):
+    monkeypatch.setattr(MQ, "_inputs", lambda *args: (None, None, None))
+    monkeypatch.setattr(MQ.C, "feature_set", lambda *args: [])
+    monkeypatch.setattr(MQ.P, "run_task", lambda *args, **options: options)
+    monkeypatch.setattr(MQ, "_aucs", lambda options: options["tabular_params"])
+    forest = P.random_forest(**MQ.random_forest(spark, sf).get("random_forest", {}))
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (
+        200, 15, 20)
