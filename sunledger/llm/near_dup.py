@@ -191,13 +191,13 @@ def connect(links: DataFrame) -> DataFrame:
             return labels
 
 
-def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text"
-                    ) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): ``key, digest, class`` per row, and the links found between texts.
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, digest, class`` per row.
 
     Equal texts are one node, named by their digest; the class is the smallest digest of the
     component.  A text without words links to nothing but equal texts; a NULL text has no
-    digest and no class.  Repeated rows and NULL keys are kept; ties do not occur.
+    digest and no class.  Repeated rows and NULL keys are kept; ties do not occur.  Only links
+    that can join classes are tried, so the links themselves are no result.
     """
     signed = settle(sign_texts(docs, key, text))
     nodes = (signed.where((F.size("bands") > 0) & F.col("digest").isNotNull())
@@ -216,10 +216,9 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text"
     more = settle(_prefix_pairs(divided, texts).join(tried, ["a", "b"], "left_anti"))
     links = settle(tried.union(_verify(more, texts)).where("linked").select("a", "b"))
     labels = connect(links)
-    classes = signed.select("key", "digest").join(
+    return signed.select("key", "digest").join(
         labels.withColumnRenamed("node", "digest"), "digest", "left").select(
         "key", "digest", F.coalesce("label", "digest").alias("class"))
-    return classes, links
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -299,21 +298,16 @@ def _prefix_pairs(divided: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: key, ``class_id`` (smallest key of the class), ``n_links``.
+    """One row per row: key and ``class_id`` (smallest key of the class).
 
-    ``n_links`` counts links found between the document's text and other texts; copies are
-    not counted.  NULL texts are classes of their own.
+    NULL texts are classes of their own.
     """
-    classes, links = similar_classes(docs, key, text)
+    classes = similar_classes(docs, key, text)
     ids = classes.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("key").alias("class_id"))
-    degree = (links.select(F.col("a").alias("digest")).union(links.select("b"))
-              .groupBy("digest").agg(F.count(F.lit(1)).alias("n_links")))
-    return (classes.join(ids, "class", "left").join(degree, "digest", "left")
-            .select(F.col("key").alias(key),
-                    F.when(F.col("class").isNull(), F.col("key")).otherwise(
-                        F.col("class_id")).alias("class_id"),
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    return classes.join(ids, "class", "left").select(
+        F.col("key").alias(key),
+        F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,7 +315,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     The row with the smallest (key, digest) of its class stays; of repeated rows one stays.
     """
-    classes, _ = similar_classes(docs, key, text)
+    classes = similar_classes(docs, key, text)
     best = classes.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min(F.struct(F.col("key").alias("_k"), F.col("digest").alias("_d"))).alias("w")
     ).select("w._k", "w._d")

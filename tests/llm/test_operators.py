@@ -438,3 +438,15 @@ def test_toxicity_is_fitted_on_every_pattern(spark, monkeypatch):
     near = toxicity.linear.fit(
         x, lambda m: share * (toxicity.linear.sigmoid(m) - target), rounds=4000)
     assert np.abs(near.scores(x) - model.scores(x)).max() < 0.02
+
+
+def test_near_duplicates_report_nothing_that_depends_on_the_pairs_tried(spark):
+    """Every text of a cloud is linked to all others; a count of the tried links would differ."""
+    base = sentence(random.Random(12), 160).split(" ")
+    rows = [(n, " ".join([*base[:2 * n], f"w{n}", *base[2 * n + 1:]])) for n in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    h, o = near_dup.shingle_hashes(pa.array([t for _, t in rows]))
+    assert all(near_dup.similarity(h[o == a], h[o == b]) >= near_dup.THRESHOLD
+               for a in range(12) for b in range(a))
+    found = near_dup.near_duplicates(frame)
+    assert found.distinct().count() == 12 and found.drop("doc_id").distinct().count() == 1
