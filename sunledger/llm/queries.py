@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sunledger.llm import (byte_bpe, decontamination, near_dup, pii, quality, repeats,
-                           sharding, token_counts, topk, toxicity)
+from sunledger.llm import (byte_bpe, conversation_trie, decontamination, merkle, near_dup, pii,
+                           quality, repeats, sharding, token_counts, topk, toxicity, url_filters)
 from sunledger.llm.common import crc_fold, table
 from sunledger.llm.oracle import LLM_ORACLE
 
@@ -80,9 +80,39 @@ def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= CUT).cast("int"))
 
 
+def op11_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filters.judge(pages, "url", ["page_id"], rules=url_filters.URL_RULES)
+    return judged.withColumn("terms", F.array_join("terms", ","))
+
+
+def op12_slot_pivot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def leaf(n_chars):
+        return merkle.digest(*[merkle.field(c) for c in (
+            F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))])
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0,
+                      leaf(F.col("n_chars").cast("decimal(20,0)") + 1))
+    rows = merkle.manifest(docs, "doc_id", "lang", leaf(F.col("n_chars")), changed=tampered)
+    return merkle.check_proofs(rows).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        "verified")
+
+
+def op13_prefix_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    convs, turns = conversation_trie.rebuilt(
+        table(spark, sf_dir, "conversations"), conv - conv % 5,
+        F.crc32(conv.cast("string").cast("binary")) % 9, 8)
+    return conversation_trie.prefix_trie(convs, turns)
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_hash_tree_sharding, op2_pu_quality, op3_norm_bucket_topk, op4_aho_corasick,
     op5_semi_markov_pii, op6_prefix_token_counts, op7_dart_minhash, op8_byte_bpe,
-    op9_run_length_index, op10_weak_toxicity)}
+    op9_run_length_index, op10_weak_toxicity, op11_url_vocabulary, op12_slot_pivot_manifest,
+    op13_prefix_slots)}
 
 __all__ = ["LLM_ORACLE", "LLM_QUERIES"]
