@@ -25,6 +25,8 @@ def canonical(frame: pd.DataFrame) -> pd.DataFrame:
     for name in frame.columns:
         if frame[name].dtype.kind == "M":
             frame[name] = frame[name].astype("datetime64[us]")
+        if isinstance(frame[name].dtype, pd.Int64Dtype) and frame[name].isna().any():
+            frame[name] = frame[name].astype("float64")  # as Spark hands over NULL integers
     return frame.sort_values(list(frame.columns), kind="stable").reset_index(drop=True)
 
 
