@@ -323,6 +323,7 @@ SQL["discover_sites"] = """select distinct round(latitude, 2) as latitude,
   round(longitude, 2) as longitude, concat_ws('_', cast(round(latitude, 2) as varchar),
   cast(round(longitude, 2) as varchar)) as site from tele"""
 SQL["file_row_counts"] = "select source_file, count(*) as n_rows from tele group by source_file"
+SQL["footer_row_counts"] = SQL["file_row_counts"]
 SQL["save_load_manifest"] = "select *, count(*) over () as n_entries from reg"
 SQL["daytime_filter"] = f"select {B}, poa_global_wm2 from day"
 SQL["year_filter"] = f"""select {B}, sim_year, split from tele join reg using (source_file)
@@ -334,6 +335,7 @@ where fault_active and fault_type in (select fault_type from partial)"""
 SQL["unseen"] = """select fault_type, count(*) as n_dropped from tele
 where fault_active and fault_type not in (select fault_type from partial) group by fault_type"""
 SQL["constant_columns"] = 'select "column" from flat where n_values <= 1'
+SQL["footer_constant_columns"] = SQL["constant_columns"]
 SQL["classify_columns"] = "select * from roles"
 SQL["load_columns"] = """select "column" from roles
 where included or category in ('meta', 'label')"""
@@ -341,6 +343,7 @@ SQL["feature_set"] = """select mode, feature, cast(row_number() over (partition
   order by block, nth) - 1 as int) as position from mode_sets"""
 SQL["estimate_capacity"] = """select cast(max(dc_power_kw) as double) * cast(1.05 as double)
   as array_kwp from wide"""
+SQL["footer_capacity"] = SQL["estimate_capacity"]
 SQL["batch_summary"] = """select
   (select cast(max(dc_power_kw) as double) * cast(1.05 as double) from wide) as array_kwp,
   (select count(distinct loc_id) from sites) as n_sites,

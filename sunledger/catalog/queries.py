@@ -16,8 +16,9 @@ from sunledger.operators import sequences as Q
 from sunledger.operators import stats as X
 from sunledger.session import scratch_path, settle
 from sunledger.sources import config as B
+from sunledger.sources import footers as FT
 from sunledger.sources import manifest as MF
-from sunledger.sources.telemetry import downcast, pick_schema_file, year_filter
+from sunledger.sources.telemetry import downcast, list_files, pick_schema_file, year_filter
 
 BASE = ["source_file", "event_id"]
 DIGITS = 9
@@ -54,6 +55,36 @@ def save_load_manifest(spark, sf):
     return MF.manifest_round_trip(I.registry(spark, sf), scratch_path(spark, "manifest"))
 
 
+def _run_files(spark, sf):
+    """The rows written as run files, one folder a run, and the listed files."""
+    path = scratch_path(spark, "runs")
+    rows = I.rows(spark, sf, extended=True)
+    rows.repartition("source_file").write.partitionBy("source_file").parquet(path)
+    schema = rows.drop("source_file").schema
+    return list_files(spark, path), spark.read.schema(schema).parquet(path), schema
+
+
+def footer_row_counts(spark, sf):
+    """Rows per run file, from footers alone."""
+    files, _, _ = _run_files(spark, sf)
+    run = F.regexp_extract("path", "source_file=([^/]*)/", 1)
+    return FT.row_counts(FT.read_footers(files), run)
+
+
+def footer_constant_columns(spark, sf):
+    """Constant columns of run files: footers first, a scan of what they leave open."""
+    files, rows, schema = _run_files(spark, sf)
+    return FT.constant_columns(files, rows, schema)
+
+
+def footer_capacity(spark, sf):
+    """Capacity by the largest DC power that the footers name."""
+    files, rows, schema = _run_files(spark, sf)
+    most = FT.highest(FT.column_bounds(FT.read_footers(files), schema), "dc_power_kw")
+    return X.estimate_capacity(rows if most is None else spark.range(1).select(
+        F.lit(most).cast("float").alias("dc_power_kw")))
+
+
 # --- projections and filters -----------------------------------------------------------------
 
 def daytime_filter(spark, sf):
@@ -539,7 +570,8 @@ def split_leak_check(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_batch, load_entry, discover_sites, file_row_counts, save_load_manifest, schema_file_pick,
+    scan_batch, load_entry, discover_sites, file_row_counts, footer_row_counts,
+    footer_constant_columns, footer_capacity, save_load_manifest, schema_file_pick,
     daytime_filter, faulted_only, drop_healthy_files, known_class_filter, unseen,
     constant_columns, classify_columns, load_columns, feature_set, estimate_capacity,
     batch_summary, clean_matrix, time_features, performance_ratio,

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from sunledger.functions.columns import category_lists, classify_columns, feature_set
 from sunledger.functions.expressions import loc_id
 from sunledger.operators.registry import first_row_per_file
-from sunledger.operators.stats import constant_columns, estimate_capacity
+from sunledger.operators.stats import estimate_capacity
+from sunledger.sources.footers import column_bounds, constant_columns, highest, read_footers
 from sunledger.sources.telemetry import (
-    RUN_PATTERNS, batch_pattern, scan_batch, schema_file)
+    RUN_PATTERNS, batch_pattern, list_files, scan_batch, schema_file)
 
 CONFIG_SCHEMA = (
     "installation_fixed struct<array_power_kWp: double, system_area_m2: double>, "
@@ -81,7 +82,10 @@ class Batch:
         schema = spark.read.parquet(first["path"]).schema
         pattern = batch_pattern(spark, data_dir, (*RUN_PATTERNS, "*.parquet"))
         runs = scan_batch(spark, data_dir, pattern=pattern, schema=schema)
-        constants = constant_columns(runs, schema.names)
+        # footers decide most columns; only those they leave open are scanned
+        files = list_files(spark, data_dir, pattern)
+        bounds = column_bounds(read_footers(files), schema)
+        constants = constant_columns(files, runs, schema, bounds)
         batch = cls(spark, data_dir, pattern, schema=schema, columns=category_lists(
             classify_columns(runs.select(*schema.names), constants)))
         has_config = spark.read.format("binaryFile").option(
@@ -94,7 +98,9 @@ class Batch:
             batch.sites = discovered_sites(scan_batch(
                 spark, data_dir, ["latitude", "longitude"], pattern="*.parquet", schema=schema))
         if batch.array_kwp is None and "dc_power_kw" in schema.names:
-            batch.array_kwp = estimate_capacity(runs).first()["array_kwp"]
+            most = highest(bounds, "dc_power_kw")
+            batch.array_kwp = estimate_capacity(runs if most is None else spark.range(1).select(
+                F.lit(most).cast("float").alias("dc_power_kw"))).first()["array_kwp"]
         return batch
 
     def feature_set(self, mode: str = "full") -> list[str]:

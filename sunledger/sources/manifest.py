@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-MANIFEST_VERSION = 1
-REGISTRY_SCHEMA = "source_file string, run_id string, file_fault_type string, split string"
-HEADER_SCHEMA = ("version int, n_entries long, "
+MANIFEST_VERSION = 2
+REGISTRY_SCHEMA = ("source_file string, run_id string, file_fault_type string, split string, "
+                   "path string, years array<int>, lookback int")
+HEADER_SCHEMA = ("version int, n_entries long, columns array<string>, "
                  "model_paths map<string, map<string, string>>, extra map<string, string>")
+#: columns of every registry; the others are kept where a registry has them
+ENTRY = ("source_file", "run_id", "file_fault_type", "split")
 
 
 def save_manifest(registry: DataFrame, path: str, model_paths: dict | None = None,
                   extra: dict | None = None) -> str:
     """Write the split registry as JSON lines next to a one-row header.
 
-    The entries are written by the executors, so the size of the batch does not matter.
+    An entry keeps its path, the years its rows are restricted to and its rolling look-back, if
+    the registry has them.  The entries are written by the executors, so the size of the batch
+    does not matter.
     """
     spark = registry.sparkSession
-    names = [f.split()[0] for f in REGISTRY_SCHEMA.split(", ")]
+    names = [n for n in (f.split()[0] for f in REGISTRY_SCHEMA.split(", "))
+             if n in ENTRY or n in registry.columns]
     registry.select(*names).write.mode("overwrite").json(f"{path}/registry")
     n_entries = spark.read.schema(REGISTRY_SCHEMA).json(f"{path}/registry").count()
-    header = (MANIFEST_VERSION, n_entries,
+    header = (MANIFEST_VERSION, n_entries, names,
               {k: dict(v) for k, v in (model_paths or {}).items()},
               {k: str(v) for k, v in (extra or {}).items()})
     spark.createDataFrame([header], HEADER_SCHEMA).coalesce(1).write.mode("overwrite").json(
@@ -35,7 +41,7 @@ def load_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     header = spark.read.schema(HEADER_SCHEMA).json(f"{path}/header").first().asDict()
     header["model_paths"] = header["model_paths"] or {}
     header["extra"] = header["extra"] or {}
-    return registry, header
+    return registry.select(*(header["columns"] or ENTRY)), header
 
 
 def save_model(model: PipelineModel, path: str, feature_names: list[str],
