@@ -55,8 +55,14 @@ def batched_forest(spark, sf):
 
 
 def mlp_last_step(spark, sf):
-    return _aucs(_run(spark, sf, modes=("mlp",), window_size=I.WINDOW, stride=I.STRIDE,
-                      sequence_params={"mlp": {"maxIter": 60}}))
+    return _aucs(_run(spark, sf, modes=("mlp",), window_size=I.WINDOW, stride=I.STRIDE))
+
+
+def mlp_history(spark, sf):
+    """Losses and rate of every round of the perceptron; ``best`` marks improvements on val."""
+    result = _run(spark, sf, P.CLASSIFICATION, modes=("mlp",), window_size=I.WINDOW,
+                  stride=I.STRIDE)
+    return result.models["mlp"].history
 
 
 def window_summary_classifier(spark, sf):
@@ -106,10 +112,14 @@ def save_load_model(spark, sf):
 
 
 def evaluate_saved(spark, sf):
-    """AUC of a stored model on the test files its manifest lists."""
-    _, path = _stored(spark, sf)
+    """AUC of stored models, one of them of windows, on the test files their manifest lists."""
+    result = _run(spark, sf, modes=("random_forest", "mlp"), window_size=I.WINDOW,
+                  stride=I.STRIDE)
+    paths = {mode: MF.save_model(fitted.model, scratch_path(spark, "model"), fitted.feature_names,
+                                 result.class_names, fitted.windows)
+             for mode, fitted in result.models.items()}
     listing = MF.save_manifest(I.registry(spark, sf), scratch_path(spark, "manifest"),
-                               {P.DETECTION: {"random_forest": path}}, {"seed": 42})
+                               {P.DETECTION: paths}, {"seed": 42})
     table = I.settled_features(spark, sf, extended=True)
     return _aucs(ST.evaluate_saved(table, listing, P.DETECTION))
 
@@ -144,6 +154,6 @@ def ablation_study(spark, sf):
 
 
 MODEL_QUERIES = {f.__name__: f for f in (
-    random_forest, score_model, deployment_model, batched_forest, mlp_last_step,
+    random_forest, score_model, deployment_model, batched_forest, mlp_last_step, mlp_history,
     window_summary_classifier, run_task, custom_runners, importance_top, save_load_model, evaluate_saved,
     compare_models, write_metrics_csv, temporal_split_study, cross_location_study, ablation_study)}

@@ -87,10 +87,10 @@ def train(data: Dataset, out_dir: str, modes: Sequence[str] = ("random_forest",)
         result = P.run_task(table, data.registry, target, names, modes, scada=scada, **options)
         results[target], paths[target] = result, {}
         for mode, fitted in result.models.items():
-            if fitted.model is not None and mode not in P.SEQUENCE:
+            if fitted.model is not None:
                 paths[target][mode] = save_model(
                     fitted.model, f"{out_dir}/models/{target}/{mode}", fitted.feature_names,
-                    result.class_names)
+                    result.class_names, fitted.windows)
         if target == P.CLASSIFICATION and len(result.models) > 1:
             write_metrics_csv(result.per_fault_f1(), f"{out_dir}/per_fault_metrics")
     save_manifest(data.registry, f"{out_dir}/manifest", paths, {"data_dir": data.batch.data_dir})

@@ -7,8 +7,7 @@ from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import (
-    MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,6 +19,7 @@ from sunledger.operators import sampling as S
 from sunledger.operators import sequences as Q
 from sunledger.operators.features import clean_matrix, feature_columns
 from sunledger.operators.skew import broadcast_checked, hash_ordinal
+from sunledger.plans import networks as N
 from sunledger.session import settle
 
 DETECTION, CLASSIFICATION = "fault_active", "fault_type"
@@ -39,12 +39,6 @@ def random_forest(**params) -> RandomForestClassifier:
                                   **{**settings, **params})
 
 
-def mlp(n_features: int, n_classes: int, **params) -> MultilayerPerceptronClassifier:
-    settings = dict(layers=[n_features, *HIDDEN, n_classes], maxIter=100, seed=SEED)
-    return MultilayerPerceptronClassifier(labelCol="label", featuresCol="features",
-                                          **{**settings, **params})
-
-
 TABULAR: dict[str, Callable[..., Estimator]] = {"random_forest": random_forest}
 SEQUENCE = ("mlp", "window_summary")
 
@@ -136,6 +130,29 @@ def score(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
 
 # --- results -----------------------------------------------------------------------------------
 
+@dataclass
+class WindowSpec:
+    """How a sequence model cuts rows: its kind, window size and stride, and fitted scaler.
+
+    ``scaler`` is one row of ``mean_<f>`` and ``std_<f>`` of the features it was fitted on.
+    """
+
+    mode: str
+    size: int
+    stride: int
+    scaler: DataFrame
+
+    @property
+    def names(self) -> list[str]:
+        return [c[5:] for c in self.scaler.columns if c.startswith("mean_")]
+
+    def cut(self, rows: DataFrame) -> DataFrame:
+        """The windows of labelled rows, by the stored scaler."""
+        scaled = _scaled(rows, self.scaler, "label", "timestamp", "event_id", "row_index")
+        kind = Q.last_step if self.mode == "mlp" else Q.window_summary
+        return kind(scaled, self.names, self.size, self.stride)
+
+
 @dataclass
 class ModelResult:
     """Settled predictions of one model; report and AUC are computed when asked for."""
@@ -145,6 +162,8 @@ class ModelResult:
     predictions: DataFrame
     task: Task
     model: PipelineModel | None = None
+    windows: WindowSpec | None = None
+    history: DataFrame | None = None
 
     @cached_property
     def report(self) -> DataFrame:
@@ -264,38 +283,71 @@ def _scaled(rows: DataFrame, scaler: DataFrame, *keep: str) -> DataFrame:
 
 
 def run_sequence(mode: str, rows: dict[str, DataFrame], names: Sequence[str], task: Task,
-                 window_size: int, stride: int, estimator: str = "random_forest",
+                 window_size: int, stride: int, estimator: str | None = None,
                  **params) -> ModelResult | None:
     """Classify windows by their last step (``mlp``) or by their history.
 
     ``rows`` has the labelled rows of train, val and test.  The scaler is fitted on train
-    files; there is no result when train or test has no window.
+    files; there is no result when train or test has no window.  ``estimator`` is ``network``
+    (the default of ``mlp``), which is watched on the windows of val, or of train where val has
+    none, or a tabular mode (the default of ``window_summary`` is the forest).
     """
     present, _ = feature_columns(rows["train"], names)
-    scaler = settle(Q.fit_scaler(rows["train"], rows["train"], present))
-    ties = ["timestamp", "event_id", "row_index"]
-
-    def cut(split: str) -> DataFrame:
-        scaled = _scaled(rows[split], scaler, "label", *ties)
-        if mode == "mlp":
-            return Q.last_step(scaled, present, window_size, stride)
-        return Q.window_summary(scaled, present, window_size, stride)
-
-    windows = {s: settle(cut(s)) for s in ("train", "test")}
+    spec = WindowSpec(mode, window_size, stride,
+                      settle(Q.fit_scaler(rows["train"], rows["train"], present)))
+    windows = {s: settle(spec.cut(rows[s])) for s in ("train", "test")}
     if any(w.isEmpty() for w in windows.values()):
         return None
     inputs = [c for c in windows["train"].columns
               if c not in ("source_file", "window_id", "label", "n_rows")]
-    relabelled = {s: _with_classes(w, task) for s, w in windows.items()}
-    if mode == "mlp":
-        balanced = balance(relabelled["train"], ["source_file", "window_id"])
-        prepared = assembler(inputs).transform(task_matrix(balanced, inputs))
-        fitted = mlp(len(inputs), task.n_classes, **params).fit(prepared)
+    history = None
+    if (estimator or ("network" if mode == "mlp" else "random_forest")) == "network":
+        windows["val"] = settle(spec.cut(rows["val"]))
+        fitted, history = fit_network(windows["train"], windows["val"], inputs, task, **params)
         model = PipelineModel(stages=[assembler(inputs), fitted])
     else:
-        model = fit_tabular(estimator, relabelled["train"], inputs, task, **params)
-    predictions = score(model, task_matrix(relabelled["test"], inputs), mode)
-    return _result(mode, inputs, predictions, task, model)
+        model = fit_tabular(estimator or "random_forest", _with_classes(windows["train"], task),
+                            inputs, task, **params)
+    predictions = _score_cut(model, windows["test"], task, mode)
+    result = _result(mode, inputs, predictions, task, model)
+    result.windows, result.history = spec, history
+    return result
+
+
+def fit_network(train: DataFrame, val: DataFrame, inputs: Sequence[str], task: Task,
+                hidden: Sequence[int] = HIDDEN, path: str | None = None, **schedule):
+    """A perceptron on the train windows, weighted by class, with its rounds on val windows.
+
+    Windows of val are weighted like those of train.
+    """
+    counts = train.groupBy(F.col("label").cast("int").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"))
+    weights = settle(S.balanced_weights(counts, task.classes().select("label")))
+    alone = val.isEmpty()
+    sides = train.withColumns({"for_train": F.lit(True), "for_val": F.lit(alone)})
+    if not alone:
+        sides = sides.unionByName(
+            val.withColumns({"for_train": F.lit(False), "for_val": F.lit(True)}))
+    # a val label that train does not have has no output to be held against
+    clean = task_matrix(weigh(sides, weights), inputs, "weight", "for_train", "for_val")
+    layers = [len(inputs), *hidden, task.n_classes]
+    rows = settle(clean.where(F.col("label").between(0, task.n_classes - 1)).select(
+        F.array(*[F.col(c).cast("double") for c in inputs]).alias("features"),
+        F.col("label").cast("int").alias("label"), F.col("weight").cast("double").alias("weight"),
+        "for_train", "for_val"))
+    found, history = N.fit(rows, layers, N.Schedule(**schedule), path)
+    return N.as_model(found, layers, train.sparkSession), history
+
+
+def score_windows(model: PipelineModel, rows: DataFrame, windows: WindowSpec, task: Task,
+                  name: str) -> DataFrame:
+    """``score`` of the windows that a stored model cuts from labelled rows."""
+    return _score_cut(model, settle(windows.cut(rows)), task, name)
+
+
+def _score_cut(model: PipelineModel, cut: DataFrame, task: Task, name: str) -> DataFrame:
+    inputs = model.stages[0].getInputCols()
+    return score(model, task_matrix(_with_classes(cut, task), inputs), name)
 
 
 def _with_classes(windows: DataFrame, task: Task) -> DataFrame:

@@ -13,10 +13,10 @@ from sunledger.operators import registry as R
 from sunledger.operators.features import add_features
 from sunledger.operators.skew import broadcast_checked
 from sunledger.plans.models import (
-    CLASSIFICATION, DETECTION, ModelResult, Task, TaskResult, run_task, score, split_rows,
-    task_matrix)
+    CLASSIFICATION, DETECTION, ModelResult, Task, TaskResult, WindowSpec, run_task, score,
+    score_windows, split_rows, task_matrix)
 from sunledger.session import settle
-from sunledger.sources.manifest import load_manifest, load_model
+from sunledger.sources.manifest import load_manifest, load_model, load_windows
 
 #: model runs of a study that are in flight at the same time
 PARALLELISM = 4
@@ -110,7 +110,10 @@ def ablation_study(features: DataFrame, registry: DataFrame, columns: dict[str,
 
 
 def evaluate_saved(features: DataFrame, manifest_path: str, target: str) -> TaskResult:
-    """Score the manifest's held-out files with the models it lists for a task."""
+    """Score the manifest's held-out files with the models it lists for a task.
+
+    Models of windows cut the rows by their own scaler, size and stride.
+    """
     spark = features.sparkSession
     registry, header = load_manifest(spark, manifest_path)
     files = registry if target == DETECTION else R.drop_healthy_files(registry)
@@ -121,8 +124,11 @@ def evaluate_saved(features: DataFrame, manifest_path: str, target: str) -> Task
         labels = spark.createDataFrame(
             [(c, i) for i, c in enumerate(class_names)], "fault_type string, label int")
         task = Task(target, labels, class_names)
-        scored = settle(score(model, task_matrix(task.label_rows(rows), names), mode))
-        result.models[mode] = ModelResult(mode, names, scored, task, model)
+        labelled, cut = task.label_rows(rows), load_windows(path)
+        windows = WindowSpec(*cut) if cut else None
+        scored = settle(score_windows(model, labelled, windows, task, mode) if windows
+                        else score(model, task_matrix(labelled, names), mode))
+        result.models[mode] = ModelResult(mode, names, scored, task, model, windows)
         result.class_names, result.classes = class_names, task.classes()
     return result
 

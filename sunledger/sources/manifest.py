@@ -44,22 +44,41 @@ def load_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return registry.select(*(header["columns"] or ENTRY)), header
 
 
+_NAMES = "features array<string>, classes array<string>"
+_WINDOWS = "mode string, size int, stride int"
+
+
 def save_model(model: PipelineModel, path: str, feature_names: list[str],
-               class_names: list[str]) -> str:
-    """A fitted pipeline with the feature and class names it was fitted on."""
+               class_names: list[str], windows=None) -> str:
+    """A fitted pipeline with the feature and class names it was fitted on.
+
+    ``windows`` (mode, size, stride and a one-row ``scaler``) is stored with a model of windows.
+    """
     model.write().overwrite().save(f"{path}/pipeline")
     row = [(list(feature_names), list(class_names))]
-    (model_spark().createDataFrame(row, "features array<string>, classes array<string>")
-     .coalesce(1).write.mode("overwrite").json(f"{path}/names"))
+    model_spark().createDataFrame(row, _NAMES).coalesce(1).write.mode("overwrite").json(
+        f"{path}/names")
+    cut = [(windows.mode, windows.size, windows.stride)] if windows else []
+    model_spark().createDataFrame(cut, _WINDOWS).coalesce(1).write.mode("overwrite").json(
+        f"{path}/windows")
+    if windows:
+        windows.scaler.coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
     return path
 
 
 def load_model(path: str) -> tuple[PipelineModel, list[str], list[str]]:
-    row = (model_spark().read.schema("features array<string>, classes array<string>")
-           .json(f"{path}/names").first())
+    row = model_spark().read.schema(_NAMES).json(f"{path}/names").first()
     return PipelineModel.load(f"{path}/pipeline"), row["features"], row["classes"]
 
 
+def load_windows(path: str) -> tuple[str, int, int, DataFrame] | None:
+    """Mode, size, stride and scaler of a stored model of windows; None for other models."""
+    row = model_spark().read.schema(_WINDOWS).json(f"{path}/windows").first()
+    if row is None:
+        return None
+    return row["mode"], row["size"], row["stride"], model_spark().read.parquet(f"{path}/scaler")
+
+
 def model_spark() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 

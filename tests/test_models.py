@@ -74,9 +74,13 @@ def test_no_test_files_give_no_models(data):
 def test_sequence_models(data):
     result = P.run_task(*data, P.CLASSIFICATION, NAMES, ["mlp", "window_summary"],
                         window_size=6, stride=2, sequence_params={
-                            "window_summary": SMALL, "mlp": {"maxIter": 80}})
+                            "window_summary": SMALL, "mlp": {"rounds": 60}})
     assert set(result.models) == {"mlp", "window_summary"}
     assert all(auc is None or auc > 0.75 for auc in result.aucs().values())
+    rounds = result.models["mlp"].history.collect()
+    assert [r["round"] for r in rounds] == list(range(1, len(rounds) + 1)) and len(rounds) <= 60
+    assert rounds[-1]["train_loss"] < rounds[0]["train_loss"]
+    assert result.models["window_summary"].history is None
     table = result.per_fault_f1()
     assert {"mlp_f1", "window_summary_recall"} <= set(table.columns)
     too_long = P.run_task(*data, P.DETECTION, NAMES, ["mlp"], window_size=5000, stride=10)
@@ -146,6 +150,25 @@ def test_saved_models_score_the_manifest_files(spark, data):
     assert len(ranked) == 2
 
 
+def test_saved_window_models_cut_and_score_as_before(spark, data):
+    table, files = data
+    result = P.run_task(table, files, P.DETECTION, NAMES, ["mlp", "window_summary"],
+                        window_size=6, stride=2, sequence_params={
+                            "mlp": {"rounds": 8}, "window_summary": SMALL})
+    paths = {mode: MF.save_model(fitted.model, scratch_path(spark, "model"), fitted.feature_names,
+                                 result.class_names, fitted.windows)
+             for mode, fitted in result.models.items()}
+    listing = MF.save_manifest(files, scratch_path(spark, "manifest"), {P.DETECTION: paths})
+    again = ST.evaluate_saved(table, listing, P.DETECTION)
+    assert set(again.models) == {"mlp", "window_summary"}
+    for mode, fitted in again.models.items():
+        before, now = (m.predictions.select("y_true", "y_pred", "prob")
+                       for m in (result.models[mode], fitted))
+        assert before.count() == now.count() > 0
+        assert before.exceptAll(now).count() == 0
+        assert (fitted.windows.size, fitted.windows.stride) == (6, 2)
+
+
 def test_temporal_features_equal_separate_features(spark, sf):
     rows = I.rows(spark, sf)
     last = rows.where("sim_year = 3")
