@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sunledger.session import scratch_path
 
-#: rows of a table that adds up partial sums
-ADDERS = 8
+#: tasks whose partial sums the driver adds up itself; those of more tasks are added up first
+ADDERS = 64
 _STATE = ("round int, train_loss double, val_loss double, val_accuracy double, rate double, "
           "stale int, best boolean, weights array<double>, first array<double>, "
           "second array<double>")
@@ -29,11 +29,12 @@ _BLOCK = 4096
 
 @dataclass(frozen=True)
 class Schedule:
-    """At most ``rounds`` steps; the rate is halved when the validation loss has not improved
+    """At most ``rounds`` steps; the rate rises over the first ``warm_up`` rounds, is halved when the validation loss has not improved
     for more than ``halve_after`` rounds, and after ``patience`` rounds the fit ends."""
 
     rounds: int = 100
-    rate: float = 0.03
+    rate: float = 0.02
+    warm_up: int = 10
     patience: int = 7
     halve_after: int = 3
     least_gain: float = 1e-5
@@ -97,7 +98,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, width)
 
 
-def sums(rows: DataFrame, weights: np.ndarray, layers: Sequence[int]) -> dict:
+def sums(rows: DataFrame, weights: np.ndarray, layers: Sequence[int],
+         n_tasks: int | None = None) -> dict:
     """Train loss and gradient, validation loss and hits, over ``(features, label, weight,
     for_train, for_val)``; a row may serve both."""
     size = n_weights(layers)
@@ -141,7 +143,9 @@ def sums(rows: DataFrame, weights: np.ndarray, layers: Sequence[int]) -> dict:
                     for batch in batches for i in range(batch.num_rows))
 
     partial = rows.mapInArrow(measure, _SUMS)
-    few = partial.repartition(ADDERS).mapInArrow(add, _SUMS).collect()
+    if (n_tasks or rows.rdd.getNumPartitions()) > ADDERS:
+        partial = partial.repartition(ADDERS).mapInArrow(add, _SUMS)
+    few = partial.collect()  # at most ADDERS rows
     out = {name: sum(r[name] for r in few) for name in ("train", "weight", "val", "val_weight",
                                                         "right", "rows")}
     out["gradient"] = np.sum([r["gradient"] for r in few], axis=0)
@@ -157,7 +161,7 @@ def fit(rows: DataFrame, layers: Sequence[int], schedule: Schedule = Schedule(),
     """
     spark = rows.sparkSession
     path = path or scratch_path(spark, "rounds")
-    past = _read(spark, path)
+    past, n_tasks = _read(spark, path), rows.rdd.getNumPartitions()
     best, best_loss = None, np.inf
     weights = start_weights(layers, schedule.seed)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
@@ -171,11 +175,11 @@ def fit(rows: DataFrame, layers: Sequence[int], schedule: Schedule = Schedule(),
         first, second = np.array(last["first"]), np.array(last["second"])
         weights = np.array(last["weights"])
         # the step that followed the last written round
-        found = sums(rows, weights, layers)
+        found = sums(rows, weights, layers, n_tasks)
         weights, first, second = _step(weights, first, second, found, number, rate, schedule)
     while number < schedule.rounds and stale < schedule.patience:
         number += 1
-        found = sums(rows, weights, layers)
+        found = sums(rows, weights, layers, n_tasks)
         train = found["train"] / max(found["weight"], 1e-300)
         val = found["val"] / max(found["val_weight"], 1e-300)
         better = val < best_loss - schedule.least_gain
@@ -203,6 +207,7 @@ def _step(weights, first, second, found: dict, number: int, rate: float, schedul
     first = 0.9 * first + 0.1 * gradient
     second = 0.999 * second + 0.001 * gradient ** 2
     mean, spread = first / (1 - 0.9 ** number), second / (1 - 0.999 ** number)
+    rate *= min(1.0, number / max(schedule.warm_up, 1))
     return weights - rate * mean / (np.sqrt(spread) + 1e-8), first, second
 
 

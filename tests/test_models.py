@@ -76,7 +76,7 @@ def test_sequence_models(data):
                         window_size=6, stride=2, sequence_params={
                             "window_summary": SMALL, "mlp": {"rounds": 60}})
     assert set(result.models) == {"mlp", "window_summary"}
-    assert all(auc is None or auc > 0.75 for auc in result.aucs().values())
+    assert all(auc is None or auc > 0.75 for auc in result.aucs().values()), result.aucs()
     rounds = result.models["mlp"].history.collect()
     assert [r["round"] for r in rounds] == list(range(1, len(rounds) + 1)) and len(rounds) <= 60
     assert rounds[-1]["train_loss"] < rounds[0]["train_loss"]

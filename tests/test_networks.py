@@ -43,7 +43,7 @@ def plain_fit(x, y, w, train, schedule):
         slope = slope / w[train].sum() + schedule.decay * state
         slope *= min(1.0, schedule.clip / np.linalg.norm(slope))
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope ** 2
-        state = state - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        state = state - rate * min(1.0, t / schedule.warm_up) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         if stale >= schedule.patience:
             break
     return best, np.array(history)
@@ -86,6 +86,16 @@ def test_a_stopped_fit_goes_on_from_its_last_round(spark):
     assert np.abs(done - resumed).max() < 1e-12
 
 
+def test_sums_of_many_tasks_are_added_up_on_executors(spark, monkeypatch):
+    rows = settle(frame(spark, *points()).repartition(7))
+    weights = N.start_weights(LAYERS, 2)
+    direct = N.sums(rows, weights, LAYERS, 7)
+    monkeypatch.setattr(N, "ADDERS", 3)
+    added = N.sums(rows, weights, LAYERS, 7)
+    for name, value in direct.items():
+        assert np.allclose(value, added[name], atol=1e-9)
+
+
 def test_spark_scores_with_the_same_probabilities(spark):
     from pyspark.ml.feature import VectorAssembler
     x, *_ = points(30)
