@@ -324,6 +324,11 @@ SQL["discover_sites"] = """select distinct round(latitude, 2) as latitude,
   cast(round(longitude, 2) as varchar)) as site from tele"""
 SQL["file_row_counts"] = "select source_file, count(*) as n_rows from tele group by source_file"
 SQL["footer_row_counts"] = SQL["file_row_counts"]
+SQL["read_batch_config"] = """with places as (
+  select distinct round(latitude, 2) as lat, round(longitude, 2) as lon from tele)
+select cast(row_number() over (order by lat, lon) - 1 as int) as site_no, lat as site_lat,
+  lon as site_lon, 'site ' || cast(lat as varchar) as site_name,
+  (select count(*) from places) * cast(0.25 as double) as array_kwp from places"""
 SQL["save_load_manifest"] = "select *, count(*) over () as n_entries from reg"
 SQL["daytime_filter"] = f"select {B}, poa_global_wm2 from day"
 SQL["year_filter"] = f"""select {B}, sim_year, split from tele join reg using (source_file)

@@ -85,6 +85,24 @@ def footer_capacity(spark, sf):
         F.lit(most).cast("float").alias("dc_power_kw")))
 
 
+def read_batch_config(spark, sf):
+    """Sites and capacity of a batch description that is written from the rows' places."""
+    lat, lon = F.round("latitude", 2).alias("lat"), F.round("longitude", 2).alias("lon")
+    places = I.rows(spark, sf).select(lat, lon).distinct()
+    name = F.concat(F.lit("site "), F.col("lat").cast("string"), F.lit(", somewhere"))
+    # a batch lists its sites in one document
+    listed = F.sort_array(F.collect_list(F.struct("lat", "lon", name.alias("name"))))
+    described = places.agg(
+        F.struct(F.count(F.lit(1)).cast("double").alias("system_area_m2")).alias("installation_fixed"),
+        F.struct(F.lit(0.25).alias("efficiency")).alias("stc_parameters"),
+        F.struct(listed.alias("locations")).alias("sweep_summary"))
+    path = scratch_path(spark, "config")
+    described.coalesce(1).write.json(path)
+    config = B.read_batch_config(spark, path)
+    # one-row side
+    return B.config_sites(config).crossJoin(F.broadcast(B.config_capacity(config)))
+
+
 # --- projections and filters -----------------------------------------------------------------
 
 def daytime_filter(spark, sf):
@@ -571,7 +589,7 @@ def split_leak_check(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     scan_batch, load_entry, discover_sites, file_row_counts, footer_row_counts,
-    footer_constant_columns, footer_capacity, save_load_manifest, schema_file_pick,
+    footer_constant_columns, footer_capacity, read_batch_config, save_load_manifest, schema_file_pick,
     daytime_filter, faulted_only, drop_healthy_files, known_class_filter, unseen,
     constant_columns, classify_columns, load_columns, feature_set, estimate_capacity,
     batch_summary, clean_matrix, time_features, performance_ratio,
