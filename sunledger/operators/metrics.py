@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sunledger.operators.skew import broadcast_checked, prefix_sum
+from sunledger.session import settle
 
 
 def _safe(numerator: Column, denominator: Column) -> Column:
@@ -41,7 +42,7 @@ def classification_report(predictions: DataFrame, classes: DataFrame) -> DataFra
     ``classes`` has (label, class_name).  0/0 counts as 0.  Everything after the first
     aggregate works on class counts.
     """
-    pairs = pair_counts(predictions)
+    pairs = settle(pair_counts(predictions))  # read by every part of the report
     sides = pairs.select("model", "n", F.explode(F.array(
         F.struct(F.col("y_true").alias("label"), F.lit(1).alias("actual"), F.lit(0).alias("said")),
         F.struct(F.col("y_pred").alias("label"), F.lit(0).alias("actual"), F.lit(1).alias("said"))
@@ -83,8 +84,9 @@ def ranked_auc(scored: DataFrame, group: Sequence[str],
     only one class.
     """
     group = list(group)
-    by_score = scored.groupBy(*group, "score").agg(
-        F.count_if("positive").alias("_pos"), F.count_if(~F.col("positive")).alias("_neg"))
+    # group sizes and running totals both read it
+    by_score = settle(scored.groupBy(*group, "score").agg(
+        F.count_if("positive").alias("_pos"), F.count_if(~F.col("positive")).alias("_neg")))
     running = prefix_sum(by_score, group, ["score"], F.col("score"), "_neg", "_below",
                          rows_per_slice)
     below = F.col("_below") - F.col("_neg") + F.col("_neg") / F.lit(2.0)
