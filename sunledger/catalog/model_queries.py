@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sunledger.catalog import inputs as I
 from sunledger.catalog import queries as Q
 from sunledger.functions import columns as C
 from sunledger.operators import metrics as M
+from sunledger.operators.features import clean_matrix
+from sunledger.plans import attributions as A
 from sunledger.plans import models as P
 from sunledger.plans import studies as ST
 from sunledger.session import scratch_path, settle
@@ -94,6 +98,48 @@ def importance_top(spark, sf):
     return M.importance_top(P.importances(result), C.feature_groups(Q.classify_columns(spark, sf)))
 
 
+#: a tree of two levels: split, children by position
+RULES = [("dc_ac_power_ratio", 1.1, 1, 2), ("performance_ratio", 0.5, 3, 4),
+         ("power_step", 0.25, 5, 6), None, None, None, None]
+
+
+def path_attribution(spark, sf):
+    """Every row's attributions by a tree of two levels whose shares the rows themselves give."""
+    names = ["dc_ac_power_ratio", "performance_ratio", "power_step"]
+    table = I.settled_features(spark, sf)
+    clean = clean_matrix(table, names, ["source_file", "event_id", "fault_active"])
+    tree = A.rule_tree(clean.withColumn("label", F.col("fault_active").cast("int")), RULES, names, 2)
+    found = A.attributions(clean, names, tree, ["source_file", "event_id"], 1)
+    return found.select("source_file", "event_id", *[
+        F.round(c, 9).alias(c) for c in ("base", "probability")], *[
+        F.round(F.element_at("values", i + 1), 9).alias(n) for i, n in enumerate(names)])
+
+
+def _explained(spark, sf) -> P.TaskResult:
+    return _run(spark, sf, modes=("random_forest", "mlp"), window_size=I.WINDOW, stride=I.STRIDE,
+                explain=True)
+
+
+def model_attributions(spark, sf):
+    """Rows that each model's attributions cover, and whether all of them add up."""
+    parts = []
+    for mode, fitted in _explained(spark, sf).models.items():
+        total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+        gap = F.abs(total - (F.col("probability") - F.col("base")))
+        parts.append(fitted.attribution.agg(
+            F.lit(mode).alias("model"), F.count(F.lit(1)).alias("n_rows"),
+            F.min(F.size("values")).alias("n_inputs"),
+            (F.max(F.coalesce(gap, F.lit(1.0))) < 1e-6).alias("adds_up")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def attributed_features(spark, sf):
+    """Mean attribution of every input of a fitted forest and a fitted perceptron."""
+    return reduce(DataFrame.unionByName, [
+        P.attributed_features(fitted).withColumn("model", F.lit(mode))
+        for mode, fitted in _explained(spark, sf).models.items()])
+
+
 def _stored(spark, sf) -> tuple[P.TaskResult, str]:
     """A fitted task, and the path of its model on storage."""
     result = _run(spark, sf)
@@ -155,5 +201,5 @@ def ablation_study(spark, sf):
 
 MODEL_QUERIES = {f.__name__: f for f in (
     random_forest, score_model, deployment_model, batched_forest, mlp_last_step, mlp_history,
-    window_summary_classifier, run_task, custom_runners, importance_top, save_load_model, evaluate_saved,
-    compare_models, write_metrics_csv, temporal_split_study, cross_location_study, ablation_study)}
+    window_summary_classifier, run_task, custom_runners, importance_top, path_attribution,
+    model_attributions, attributed_features, save_load_model, evaluate_saved, compare_models, write_metrics_csv, temporal_split_study, cross_location_study, ablation_study)}

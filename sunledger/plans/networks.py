@@ -94,6 +94,22 @@ def loss_and_gradient(weights: np.ndarray, layers: Sequence[int], x: np.ndarray,
     return float(loss), np.concatenate(gradient)
 
 
+def input_gradient(weights: np.ndarray, layers: Sequence[int], x: np.ndarray,
+                   target: np.ndarray) -> np.ndarray:
+    """Gradient of every row's probability of its target class by the inputs."""
+    outs = probabilities(weights, layers, x)
+    rows = np.arange(len(x))
+    found = outs[-1][rows, target]
+    delta = -found[:, None] * outs[-1]
+    delta[rows, target] += found
+    parts = _layers(weights, layers)
+    for i in range(len(parts) - 1, -1, -1):
+        delta = delta @ parts[i][0].T
+        if i:
+            delta = delta * outs[i] * (1.0 - outs[i])
+    return delta
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, width)
 
