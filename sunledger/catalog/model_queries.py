@@ -74,6 +74,12 @@ def window_summary_classifier(spark, sf):
                       stride=I.STRIDE, sequence_params={"window_summary": SMALL}))
 
 
+def window_kernel_classifier(spark, sf):
+    """Windows told apart by seeded convolutions, at the library's settings."""
+    return _aucs(_run(spark, sf, modes=("window_kernels",), window_size=I.WINDOW,
+                      stride=I.STRIDE))
+
+
 def run_task(spark, sf):
     result = _run(spark, sf, P.CLASSIFICATION, ("random_forest", "window_summary"),
                   window_size=I.WINDOW, stride=I.STRIDE,
@@ -201,5 +207,5 @@ def ablation_study(spark, sf):
 
 MODEL_QUERIES = {f.__name__: f for f in (
     random_forest, score_model, deployment_model, batched_forest, mlp_last_step, mlp_history,
-    window_summary_classifier, run_task, custom_runners, importance_top, path_attribution,
+    window_summary_classifier, window_kernel_classifier, run_task, custom_runners, importance_top, path_attribution,
     model_attributions, attributed_features, save_load_model, evaluate_saved, compare_models, write_metrics_csv, temporal_split_study, cross_location_study, ablation_study)}

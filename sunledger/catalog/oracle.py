@@ -540,6 +540,15 @@ SQL["window_summary"] = "select source_file, window_id, cast(count(*) as int) as
         f"round(regr_slope(cast({c} as double), cast(rn - window_id * 5 as double)), 6) as {c}_slope"
         for c in ("ac_power_kw", "dc_power_kw")) + """
 from win_rows where window_id * 5 + 12 <= n group by source_file, window_id"""
+SQL["window_convolution"] = """with bent as (select source_file, window_id, rn, y,
+    lag(cast(ac_power_kw as double), 2) over w - 2 * cast(ac_power_kw as double)
+      + lead(cast(ac_power_kw as double), 2) over w as bend
+  from win_rows where window_id * 5 + 12 <= n
+  window w as (partition by source_file, window_id order by rn))
+select source_file, window_id, cast(count(*) as int) as n_rows, arg_max(y, rn) as label,
+  round(max(bend), 9) as kernel_0_max,
+  round(cast(count(*) filter (bend > 0) as double) / count(bend), 9) as kernel_0_above
+from bent group by source_file, window_id"""
 SQL["last_step"] = """select source_file, window_id, y as label, ac_power_kw from win_rows
 where rn = window_id * 5 + 11 and window_id * 5 + 12 <= n"""
 SQL["val_fallback"] = """

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sunledger.catalog import inputs as I
 from sunledger.functions import columns as C
 from sunledger.functions.expressions import (
     file_stem, loc_id, parse_file_fault_type, parse_run_id)
+from sunledger.operators import convolutions as V
 from sunledger.operators import features as FE
 from sunledger.operators import metrics as M
 from sunledger.operators import registry as R
@@ -446,6 +448,14 @@ def window_summary(spark, sf):
     return _round(table, *stats, digits=6)
 
 
+def window_convolution(spark, sf):
+    """Curvature of the power over five rows, every second one, pooled over each window."""
+    curve = V.Kernel(np.array([[1.0], [-2.0], [1.0]]), dilation=2)
+    table = V.window_kernels(_labelled(spark, sf), ["ac_power_kw"], I.WINDOW, I.STRIDE, [curve])
+    return _round(table.withColumn("label", F.col("label").cast("int")),
+                  "kernel_0_max", "kernel_0_above")
+
+
 def last_step(spark, sf):
     return Q.last_step(_labelled(spark, sf), ["ac_power_kw"], I.WINDOW, I.STRIDE)
 
@@ -601,8 +611,8 @@ QUERIES = {f.__name__: f for f in (
     distinct_years, confusion_matrix, classification_report, detection_report,
     label_quality_report, accuracy, roc_auc_binary, roc_auc_ovr_weighted, per_fault_f1,
     attribution_summary, split_counts, short_run_loss, sequence_windows, window_label,
-    window_arrays, window_summary, last_step, val_fallback, assign_splits, limit_runs,
-    thin_majority, stratified_subsample, stratified_orders, load_split,
+    window_arrays, window_summary, window_convolution, last_step, val_fallback, assign_splits,
+    limit_runs, thin_majority, stratified_subsample, stratified_orders, load_split,
     class_balanced_batches, head_tail_sample, nth_row_day, fault_spans, sample_series,
     sort_run, rank_models, top_features, first_row_per_file, union_files, column_sets,
     train_years, missing_classes, resolve_entries, label_table, refold, temporal_folds,

@@ -10,6 +10,9 @@ from sunledger.functions.expressions import clean_number
 from sunledger.operators.skew import time_ordinal, with_position
 from sunledger.sources.telemetry import time_order
 
+#: least rows of a stretch of windows, and least multiple of the window size
+CHUNK_ROWS, CHUNK_WINDOWS = 1024, 8
+
 
 # --- scaler ------------------------------------------------------------------------------
 
@@ -121,6 +124,31 @@ def last_step(rows: DataFrame, names: Sequence[str], size: int, stride: int,
                     F.col(label).alias("label"), *names))
 
 
+def window_chunks(rows: DataFrame, names: Sequence[str], size: int, stride: int,
+                  label: str = "label", rows_per_slice: int | None = None) -> DataFrame:
+    """Stretches of a run that hold whole windows: ``first``, ``labels`` and ``block`` in order.
+
+    A stretch has the rows of ``n`` window starts and the ``size - 1`` rows after the last of
+    them; so a row is sent once, and twice only where two stretches meet, whatever ``size /
+    stride`` is.  ``first`` is the position of the first row, a multiple of ``stride``.
+    """
+    length = stride * max(1, -(-max(CHUNK_ROWS, CHUNK_WINDOWS * size) // stride))
+    point = F.struct("rn", F.col(label).cast("double").alias("y"),
+                     F.array(*[clean_number(n).cast("double") for n in names]).alias("x"))
+    ordered = sort_run(rows.select("source_file", *time_order(rows), label, *names),
+                       rows_per_slice)
+    # only the first size - 1 rows of a stretch belong to an earlier one too
+    first = F.when(F.col("rn") < size - 1, F.lit(0).cast("long")).otherwise(
+        F.expr(f"(rn - {size - 1}) div {length}"))
+    placed = ordered.select("source_file", point.alias("_point"), F.explode(F.sequence(
+        first, F.expr(f"rn div {length}"))).alias("_chunk"))
+    points = (placed.groupBy("source_file", "_chunk")
+              .agg(F.sort_array(F.collect_list("_point")).alias("_points")))
+    return points.where(F.size("_points") >= size).select(
+        "source_file", (F.col("_chunk") * length).alias("first"), F.col("_points.y").alias("labels"),
+        F.flatten("_points.x").alias("block"))
+
+
 def short_run_loss(rows: DataFrame, size: int) -> DataFrame:
     """Runs and rows that windows of ``size`` lose because a run is shorter."""
     runs = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("_n"))

@@ -7,12 +7,14 @@ from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import (
+    LogisticRegression, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sunledger.functions.expressions import seeded_digest
+from sunledger.operators import convolutions as V
 from sunledger.operators import metrics as M
 from sunledger.operators import registry as R
 from sunledger.operators import sampling as S
@@ -40,8 +42,16 @@ def random_forest(**params) -> RandomForestClassifier:
                                   **{**settings, **params})
 
 
-TABULAR: dict[str, Callable[..., Estimator]] = {"random_forest": random_forest}
-SEQUENCE = ("mlp", "window_summary")
+def linear(**params) -> LogisticRegression:
+    """Multinomial logistic regression over standardised inputs, weighted by class."""
+    settings = dict(regParam=1e-3, maxIter=100, weightCol="weight")
+    return LogisticRegression(labelCol="label", featuresCol="features", **{**settings, **params})
+
+
+TABULAR: dict[str, Callable[..., Estimator]] = {"random_forest": random_forest, "linear": linear}
+#: sequence modes: what describes a window, and the estimator over it unless another is named
+SEQUENCE = {"mlp": (Q.last_step, "network"), "window_summary": (Q.window_summary, "random_forest"),
+            "window_kernels": (V.window_kernels, "linear")}
 
 
 def build_model(mode: str, **params) -> Estimator:
@@ -150,8 +160,8 @@ class WindowSpec:
     def cut(self, rows: DataFrame) -> DataFrame:
         """The windows of labelled rows, by the stored scaler."""
         scaled = _scaled(rows, self.scaler, "label", "timestamp", "event_id", "row_index")
-        kind = Q.last_step if self.mode == "mlp" else Q.window_summary
-        return kind(scaled, self.names, self.size, self.stride)
+        describe, _ = SEQUENCE[self.mode]
+        return describe(scaled, self.names, self.size, self.stride)
 
 
 @dataclass
@@ -287,12 +297,13 @@ def _scaled(rows: DataFrame, scaler: DataFrame, *keep: str) -> DataFrame:
 def run_sequence(mode: str, rows: dict[str, DataFrame], names: Sequence[str], task: Task,
                  window_size: int, stride: int, estimator: str | None = None,
                  **params) -> ModelResult | None:
-    """Classify windows by their last step (``mlp``) or by their history.
+    """Classify windows by their last step (``mlp``), by statistics of their rows
+    (``window_summary``) or by convolutions that see their order (``window_kernels``).
 
     ``rows`` has the labelled rows of train, val and test.  The scaler is fitted on train
     files; there is no result when train or test has no window.  ``estimator`` is ``network``
     (the default of ``mlp``), which is watched on the windows of val, or of train where val has
-    none, or a tabular mode (the default of ``window_summary`` is the forest).
+    none, or a tabular mode (by default the forest over statistics, a linear one over convolutions).
     """
     present, _ = feature_columns(rows["train"], names)
     spec = WindowSpec(mode, window_size, stride,
@@ -303,12 +314,13 @@ def run_sequence(mode: str, rows: dict[str, DataFrame], names: Sequence[str], ta
     inputs = [c for c in windows["train"].columns
               if c not in ("source_file", "window_id", "label", "n_rows")]
     history = None
-    if (estimator or ("network" if mode == "mlp" else "random_forest")) == "network":
+    estimator = estimator or SEQUENCE[mode][1]
+    if estimator == "network":
         windows["val"] = settle(spec.cut(rows["val"]))
         fitted, history = fit_network(windows["train"], windows["val"], inputs, task, **params)
         model = PipelineModel(stages=[assembler(inputs), fitted])
     else:
-        model = fit_tabular(estimator or "random_forest", _with_classes(windows["train"], task),
+        model = fit_tabular(estimator, _with_classes(windows["train"], task),
                             inputs, task, **params)
     predictions = _score_cut(model, windows["test"], task, mode)
     result = _result(mode, inputs, predictions, task, model)
