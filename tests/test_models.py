@@ -169,6 +169,21 @@ def test_saved_window_models_cut_and_score_as_before(spark, data):
         assert (fitted.windows.size, fitted.windows.stride) == (6, 2)
 
 
+def test_saved_kernel_models_score_as_before(spark, data):
+    table, files = data
+    result = P.run_task(table, files, P.DETECTION, NAMES, ["window_kernels"], window_size=6,
+                        stride=2)
+    fitted = result.models["window_kernels"]
+    path = MF.save_model(fitted.model, scratch_path(spark, "model"), fitted.feature_names,
+                         result.class_names, fitted.windows)
+    listing = MF.save_manifest(files, scratch_path(spark, "manifest"),
+                               {P.DETECTION: {"window_kernels": path}})
+    again = ST.evaluate_saved(table, listing, P.DETECTION).models["window_kernels"]
+    before, now = (m.predictions.select("y_true", "y_pred", "prob") for m in (fitted, again))
+    assert before.count() == now.count() > 0 and before.exceptAll(now).count() == 0
+    assert not P.A.explains(fitted.model)  # a linear model has no attributions here
+
+
 def test_temporal_features_equal_separate_features(spark, sf):
     rows = I.rows(spark, sf)
     last = rows.where("sim_year = 3")
