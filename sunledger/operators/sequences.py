@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sunledger.functions.expressions import clean_number
-from sunledger.operators.skew import time_ordinal, with_position
+from sunledger.operators.skew import BASE, HALO, SLICE, slice_rows, time_ordinal, with_position
 from sunledger.sources.telemetry import time_order
 
 #: least rows of a stretch of windows, and least multiple of the window size
@@ -55,59 +55,121 @@ def sort_run(rows: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
     return placed.withColumn("rn", (F.col("_pos") - 1)).drop("_pos")
 
 
-def window_rows(rows: DataFrame, size: int, stride: int,
-                rows_per_slice: int | None = None) -> DataFrame:
-    """One copy of a row per window that covers it (``size / stride`` on average)."""
-    rn = F.col("rn")
-    first = F.greatest(F.lit(0).cast("long"), F.ceil((rn - (size - 1)) / F.lit(float(stride))))
-    last = F.floor(rn / F.lit(float(stride)))
-    covering = F.when(first <= last, F.sequence(first, last))
-    return sort_run(rows, rows_per_slice).withColumn("window_id", F.explode(covering))
-
+def window_pieces(rows: DataFrame, size: int, stride: int, *aggregates,
+                  rows_per_slice: int | None = None) -> DataFrame:
+    """Complete windows with the ``pieces`` they are put together from.
 
-def _complete(exploded: DataFrame, size: int, *aggregates) -> DataFrame:
-    """Aggregate per window and drop windows the run is too short to fill."""
-    return (exploded.groupBy("source_file", "window_id")
-            .agg(F.count(F.lit(1)).cast("int").alias("n_rows"), *aggregates)
-            .where(F.col("n_rows") == size))
+    A run is cut wherever a window starts or ends, so two pieces a stride (one where ``stride``
+    divides ``size``), and every window is whole pieces.  Each row is sent once and aggregated
+    into its piece; a window then collects at most ``2 * size / stride + 1`` pieces out of the
+    same partition.  ``aggregates`` may read ``_step``, the row's position in its piece.
+    Windows that cross two slices of a long run are made where their last row lies.
+    """
+    whole, rest = divmod(size, stride)
+    per_stride = 2 if rest else 1
+    n_pieces = whole * per_stride + (1 if rest else 0)
+    sliced = slice_rows(rows, ["source_file"], time_ordinal("timestamp"), reach=size - 1,
+                        rows_per_slice=rows_per_slice)
+    placed = (sliced.rows
+              .withColumn("_rn", F.col(BASE) - 1 + F.row_number().over(
+                  sliced.window(*time_order(rows))))
+              .withColumn("_at", F.col("_rn") % stride)
+              .withColumn("_late", (F.col("_at") >= rest).cast("int") if rest else F.lit(0))
+              .withColumn("_piece", F.expr(f"_rn div {stride} * {per_stride}") + F.col("_late"))
+              .withColumn("_step", F.col("_at") - F.col("_late") * rest))
+    pieces = placed.groupBy("source_file", SLICE, "_piece").agg(
+        F.struct(F.count(F.lit(1)).cast("int").alias("n"), *aggregates).alias("_part"),
+        F.max_by(HALO, "_rn").alias(HALO))
+    frame = (Window.partitionBy("source_file", SLICE).orderBy("_piece")
+             .rowsBetween(1 - n_pieces, 0))
+    n_rows = F.aggregate("pieces", F.lit(0), lambda total, part: total + part["n"])
+    # a window ends with the piece that follows a window start, or with a whole stride
+    ends = ~F.col(HALO) & (F.col("_piece") % per_stride == 0)
+    back = whole if rest else whole - 1
+    return (pieces.withColumn("pieces", F.collect_list("_part").over(frame))
+            .where(ends).withColumn("n_rows", n_rows).where(F.col("n_rows") == size)
+            .select("source_file", F.expr(f"_piece div {per_stride} - {back}").alias("window_id"),
+                    "n_rows", "pieces"))
+
+
+def _last(name: str):
+    return F.element_at("pieces", -1)[name]
 
 
 def sequence_windows(rows: DataFrame, size: int, stride: int, label: str = "label",
                      rows_per_slice: int | None = None) -> DataFrame:
     """Windows of ``size`` rows every ``stride`` rows; the label is the last row's."""
-    exploded = window_rows(rows.select("source_file", *time_order(rows), label), size, stride,
-                           rows_per_slice)
-    return _complete(exploded, size, F.min("timestamp").alias("start_ts"),
-                     F.max("timestamp").alias("end_ts"),
-                     F.max_by(label, "rn").alias("label"))
+    windows = window_pieces(
+        rows.select("source_file", *time_order(rows), label), size, stride,
+        F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
+        F.max_by(label, "_rn").alias("label"), rows_per_slice=rows_per_slice)
+    return windows.select("source_file", "window_id", "n_rows",
+                          F.array_min("pieces.start").alias("start_ts"),
+                          F.array_max("pieces.end").alias("end_ts"), _last("label").alias("label"))
 
 
 def window_arrays(rows: DataFrame, names: Sequence[str], size: int, stride: int,
                   rows_per_slice: int | None = None) -> DataFrame:
     """The ``(size, features)`` block of every window as nested arrays."""
-    point = F.struct("rn", F.array(*[clean_number(n) for n in names]).alias("x"))
-    exploded = window_rows(rows.select("source_file", *time_order(rows), *names), size, stride,
-                           rows_per_slice)
-    blocks = _complete(exploded, size, F.sort_array(F.collect_list(point)).alias("_points"))
-    return blocks.withColumn("block", F.col("_points.x")).drop("_points")
+    point = F.struct("_rn", F.array(*[clean_number(n) for n in names]).alias("x"))
+    windows = window_pieces(
+        rows.select("source_file", *time_order(rows), *names), size, stride,
+        F.sort_array(F.collect_list(point)).alias("points"), rows_per_slice=rows_per_slice)
+    return windows.select("source_file", "window_id", "n_rows",
+                          F.flatten("pieces.points").x.alias("block"))
+
+
+def _piece_stats(name: str):
+    """What a piece keeps of a feature: moments around its own mean, so digits are not lost."""
+    x, step = clean_number(name).cast("double"), F.col("_step").cast("double")
+    n = F.count(F.lit(1))
+    return F.struct(
+        F.avg(x).alias("mean"), (F.var_pop(x) * n).alias("spread"),
+        (F.covar_pop(x, step) * n).alias("trend"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.max_by(x, "_rn").alias("last"))
+
+
+def _window_stats(name: str, size: int) -> list:
+    """Merge the pieces' moments: each adds its own and those of its mean around the window's."""
+    f, zero = f"_f_{name}", F.lit(0.0)
+    mean = F.col(f"_mean_{name}")
+    middle = F.lit((size - 1) / 2)
+    start = F.struct(zero.alias("spread"), zero.alias("trend"), zero.alias("first"))
+
+    def add(total, part):
+        off = part[f]["mean"] - mean
+        # middle of the piece minus middle of the window, in rows
+        late = total["first"] + (part["n"] - 1) / F.lit(2.0) - middle
+        return F.struct(
+            (total["spread"] + part[f]["spread"] + part["n"] * off * off).alias("spread"),
+            (total["trend"] + part[f]["trend"] + part["n"] * off * late).alias("trend"),
+            (total["first"] + part["n"]).alias("first"))
+
+    merged = F.aggregate("pieces", start, add)
+    flat = F.lit(size * (size * size - 1) / 12.0)
+    return [
+        _last(f)["last"].alias(f"{name}_last"), mean.alias(f"{name}_mean"),
+        F.sqrt(merged["spread"] / F.nullif(F.lit(size - 1.0), zero)).alias(f"{name}_std"),
+        F.array_min(F.transform("pieces", lambda part: part[f]["min"])).alias(f"{name}_min"),
+        F.array_max(F.transform("pieces", lambda part: part[f]["max"])).alias(f"{name}_max"),
+        (merged["trend"] / F.nullif(flat, zero)).alias(f"{name}_slope")]
 
 
 def window_summary(rows: DataFrame, names: Sequence[str], size: int, stride: int,
                    label: str = "label", rows_per_slice: int | None = None) -> DataFrame:
     """Per window and feature: last, mean, std, min, max and slope over the rows."""
-    exploded = window_rows(rows.select("source_file", *time_order(rows), label, *names), size,
-                           stride, rows_per_slice)
-    # position inside the window, so that the slope does not lose digits in long runs
-    exploded = exploded.withColumn("_step", F.col("rn") - F.col("window_id") * stride)
-    aggregates = [F.max_by(label, "rn").alias("label")]
-    for name in names:
-        x = clean_number(name).cast("double")
-        aggregates += [
-            F.max_by(x, "rn").alias(f"{name}_last"), F.avg(x).alias(f"{name}_mean"),
-            F.stddev_samp(x).alias(f"{name}_std"), F.min(x).alias(f"{name}_min"),
-            F.max(x).alias(f"{name}_max"),
-            F.regr_slope(x, F.col("_step").cast("double")).alias(f"{name}_slope")]
-    return _complete(exploded, size, *aggregates)
+    windows = window_pieces(
+        rows.select("source_file", *time_order(rows), label, *names), size, stride,
+        F.max_by(label, "_rn").alias("label"), *[_piece_stats(n).alias(f"_f_{n}") for n in names],
+        rows_per_slice=rows_per_slice)
+
+    def mean(name: str):
+        return F.aggregate("pieces", F.lit(0.0), lambda total, part: (
+            total + part["n"] * part[f"_f_{name}"]["mean"])) / F.lit(float(size))
+
+    described = windows.withColumns({f"_mean_{n}": mean(n) for n in names})
+    return described.select("source_file", "window_id", "n_rows", _last("label").alias("label"),
+                            *[c for n in names for c in _window_stats(n, size)])
 
 
 def last_step(rows: DataFrame, names: Sequence[str], size: int, stride: int,

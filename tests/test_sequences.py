@@ -30,21 +30,51 @@ def test_windows_equal_a_hand_loop(spark, size, stride, limit):
         (*key, part.label.iloc[-1]) for key, part in want.items()}
 
 
-def test_window_blocks_and_summaries(spark):
-    rows = skewed_runs(spark, hot=40, others=(11, 12, 25)).withColumn("label", F.lit(1))
-    want = by_hand(rows.toPandas(), 12, 5)
-    blocks = Q.window_arrays(rows, ["ac_power_kw", "dc_power_kw"], 12, 5).collect()
-    assert len(blocks) == len(want)
+@pytest.mark.parametrize("size,stride,limit", [
+    (12, 5, None), (12, 5, 20), (6, 4, 20), (2, 4, None), (4, 4, 9), (8, 2, 30), (1, 1, None)])
+def test_window_blocks_and_summaries(spark, size, stride, limit):
+    rows = skewed_runs(spark, hot=150, others=(11, 12, 25, 1)).withColumn("label", F.lit(1))
+    names = ["ac_power_kw", "dc_power_kw"]
+    want = by_hand(rows.toPandas(), size, stride)
+    blocks = Q.window_arrays(rows, names, size, stride, rows_per_slice=limit).collect()
+    assert sorted((r["source_file"], r["window_id"]) for r in blocks) == sorted(want)
     for r in blocks:
         part = want[r["source_file"], r["window_id"]]
         np.testing.assert_array_equal(np.array(r["block"], dtype=np.float32),
-                                      part[["ac_power_kw", "dc_power_kw"]].to_numpy())
+                                      part[names].to_numpy())
+    found = Q.window_summary(rows, names, size, stride, rows_per_slice=limit).collect()
+    assert sorted((r["source_file"], r["window_id"]) for r in found) == sorted(want)
+    for r in found:
+        for name in names:
+            x = want[r["source_file"], r["window_id"]][name].to_numpy().astype(float)
+            assert r[f"{name}_last"] == x[-1]
+            assert (r[f"{name}_min"], r[f"{name}_max"]) == (x.min(), x.max())
+            if size == 1:
+                assert r[f"{name}_std"] is None and r[f"{name}_slope"] is None
+                continue
+            np.testing.assert_allclose(
+                [r[f"{name}_mean"], r[f"{name}_std"], r[f"{name}_slope"]],
+                [x.mean(), x.std(ddof=1), np.polyfit(np.arange(size), x, 1)[0]],
+                rtol=1e-9, atol=1e-9)
+
+
+def test_summaries_keep_their_digits_far_from_zero(spark):
+    rows = skewed_runs(spark, hot=60, others=(30,)).withColumn("label", F.lit(1)).withColumn(
+        "ac_power_kw", (F.lit(1_000_000) + F.col("event_id") % 7 * 0.25).cast("float"))
+    want = by_hand(rows.toPandas(), 12, 5)
     for r in Q.window_summary(rows, ["ac_power_kw"], 12, 5).collect():
-        x = want[r["source_file"], r["window_id"]].ac_power_kw.to_numpy().astype(float)
-        assert r["ac_power_kw_last"] == x[-1] and r["ac_power_kw_max"] == x.max()
+        x = want[r["source_file"], r["window_id"]].ac_power_kw.to_numpy().astype(float) - 1e6
         np.testing.assert_allclose(
-            [r["ac_power_kw_mean"], r["ac_power_kw_std"], r["ac_power_kw_slope"]],
-            [x.mean(), x.std(ddof=1), np.polyfit(np.arange(12), x, 1)[0]], rtol=1e-9, atol=1e-9)
+            [r["ac_power_kw_std"], r["ac_power_kw_slope"]],
+            [x.std(ddof=1), np.polyfit(np.arange(12), x, 1)[0]], rtol=1e-7, atol=1e-9)
+
+
+def test_rows_of_pieces_do_not_grow_with_the_overlap(spark):
+    rows = skewed_runs(spark).withColumn("label", F.lit(1))
+    for size, stride in ((12, 5), (60, 5), (60, 1)):
+        text = Q.window_summary(rows, ["ac_power_kw"], size, stride)._jdf.queryExecution(
+            ).executedPlan().toString()
+        assert text.count("Exchange") == 1 and "Generate" not in text
 
 
 def test_short_run_loss(spark):
