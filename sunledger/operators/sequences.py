@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -55,121 +56,147 @@ def sort_run(rows: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
     return placed.withColumn("rn", (F.col("_pos") - 1)).drop("_pos")
 
 
-def window_pieces(rows: DataFrame, size: int, stride: int, *aggregates,
-                  rows_per_slice: int | None = None) -> DataFrame:
-    """Complete windows with the ``pieces`` they are put together from.
+@dataclass(frozen=True)
+class Pieces:
+    """Rows aggregated into the pieces that windows are put together from.
 
     A run is cut wherever a window starts or ends, so two pieces a stride (one where ``stride``
-    divides ``size``), and every window is whole pieces.  Each row is sent once and aggregated
-    into its piece; a window then collects at most ``2 * size / stride + 1`` pieces out of the
-    same partition.  ``aggregates`` may read ``_step``, the row's position in its piece.
+    divides ``size``), and every window is whole pieces.  Each row is sent and aggregated once;
+    a window is a frame of at most ``2 * size / stride + 1`` pieces inside the same partition.
     Windows that cross two slices of a long run are made where their last row lies.
     """
-    whole, rest = divmod(size, stride)
+
+    table: DataFrame
+    size: int
+    stride: int
+
+    @property
+    def per_stride(self) -> int:
+        return 2 if self.size % self.stride else 1
+
+    @property
+    def kinds(self) -> list[tuple[int, int, int]]:
+        """Which of a stride's pieces, its rows, and how many of them a window has."""
+        whole, rest = divmod(self.size, self.stride)
+        both = [(0, rest, whole + 1), (1, self.stride - rest, whole)] if rest else [
+            (0, self.stride, whole)]
+        return [kind for kind in both if kind[2]]
+
+    def windows(self, own: Sequence = (), **merged) -> DataFrame:
+        """Complete windows; ``own`` are columns of the last piece, ``merged`` aggregates of all.
+
+        ``_k`` numbers the pieces of a slice, so that positions stay small in long runs.
+        """
+        n_pieces = sum(kind[2] for kind in self.kinds)
+        order = Window.partitionBy("source_file", SLICE).orderBy("_piece")
+        frame = order.rowsBetween(1 - n_pieces, 0)
+        numbered = self.table.withColumn("_k", F.row_number().over(order).cast("double"))
+        # a window ends with the piece after a window start, or with a whole stride
+        ends = ~F.col(HALO) & (F.col("_piece") % self.per_stride == 0)
+        back = (n_pieces - 1) // self.per_stride
+        return (numbered.select("*", F.sum("_n").over(frame).cast("int").alias("n_rows"),
+                                *[c.over(frame).alias(name) for name, c in merged.items()])
+                .where(ends & (F.col("n_rows") == self.size))
+                .select("source_file",
+                        F.expr(f"_piece div {self.per_stride} - {back}").alias("window_id"),
+                        "n_rows", *own, *merged))
+
+
+def window_pieces(rows: DataFrame, size: int, stride: int, *aggregates,
+                  rows_per_slice: int | None = None) -> Pieces:
+    """Cut runs into pieces; ``aggregates`` may read ``_rn`` and ``_step``, the row's position
+    in its run and in its piece."""
+    rest = size % stride
     per_stride = 2 if rest else 1
-    n_pieces = whole * per_stride + (1 if rest else 0)
     sliced = slice_rows(rows, ["source_file"], time_ordinal("timestamp"), reach=size - 1,
                         rows_per_slice=rows_per_slice)
+    at = F.col("_rn") % stride
     placed = (sliced.rows
               .withColumn("_rn", F.col(BASE) - 1 + F.row_number().over(
                   sliced.window(*time_order(rows))))
-              .withColumn("_at", F.col("_rn") % stride)
-              .withColumn("_late", (F.col("_at") >= rest).cast("int") if rest else F.lit(0))
+              .withColumn("_late", (at >= rest).cast("int") if rest else F.lit(0))
               .withColumn("_piece", F.expr(f"_rn div {stride} * {per_stride}") + F.col("_late"))
-              .withColumn("_step", F.col("_at") - F.col("_late") * rest))
-    pieces = placed.groupBy("source_file", SLICE, "_piece").agg(
-        F.struct(F.count(F.lit(1)).cast("int").alias("n"), *aggregates).alias("_part"),
-        F.max_by(HALO, "_rn").alias(HALO))
-    frame = (Window.partitionBy("source_file", SLICE).orderBy("_piece")
-             .rowsBetween(1 - n_pieces, 0))
-    n_rows = F.aggregate("pieces", F.lit(0), lambda total, part: total + part["n"])
-    # a window ends with the piece that follows a window start, or with a whole stride
-    ends = ~F.col(HALO) & (F.col("_piece") % per_stride == 0)
-    back = whole if rest else whole - 1
-    return (pieces.withColumn("pieces", F.collect_list("_part").over(frame))
-            .where(ends).withColumn("n_rows", n_rows).where(F.col("n_rows") == size)
-            .select("source_file", F.expr(f"_piece div {per_stride} - {back}").alias("window_id"),
-                    "n_rows", "pieces"))
-
-
-def _last(name: str):
-    return F.element_at("pieces", -1)[name]
+              .withColumn("_step", (at - F.col("_late") * rest).cast("double")))
+    return Pieces(placed.groupBy("source_file", SLICE, "_piece").agg(
+        F.count(F.lit(1)).alias("_n"), F.max_by(HALO, "_rn").alias(HALO), *aggregates),
+        size, stride)
 
 
 def sequence_windows(rows: DataFrame, size: int, stride: int, label: str = "label",
                      rows_per_slice: int | None = None) -> DataFrame:
     """Windows of ``size`` rows every ``stride`` rows; the label is the last row's."""
-    windows = window_pieces(
+    pieces = window_pieces(
         rows.select("source_file", *time_order(rows), label), size, stride,
-        F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
+        F.min("timestamp").alias("_start"), F.max("timestamp").alias("_end"),
         F.max_by(label, "_rn").alias("label"), rows_per_slice=rows_per_slice)
-    return windows.select("source_file", "window_id", "n_rows",
-                          F.array_min("pieces.start").alias("start_ts"),
-                          F.array_max("pieces.end").alias("end_ts"), _last("label").alias("label"))
+    return pieces.windows(["label"], start_ts=F.min("_start"), end_ts=F.max("_end"))
 
 
 def window_arrays(rows: DataFrame, names: Sequence[str], size: int, stride: int,
                   rows_per_slice: int | None = None) -> DataFrame:
     """The ``(size, features)`` block of every window as nested arrays."""
     point = F.struct("_rn", F.array(*[clean_number(n) for n in names]).alias("x"))
-    windows = window_pieces(
+    pieces = window_pieces(
         rows.select("source_file", *time_order(rows), *names), size, stride,
-        F.sort_array(F.collect_list(point)).alias("points"), rows_per_slice=rows_per_slice)
-    return windows.select("source_file", "window_id", "n_rows",
-                          F.flatten("pieces.points").x.alias("block"))
+        F.sort_array(F.collect_list(point)).alias("_points"), rows_per_slice=rows_per_slice)
+    return pieces.windows(_blocks=F.collect_list("_points.x")).select(
+        "source_file", "window_id", "n_rows", F.flatten("_blocks").alias("block"))
 
 
-def _piece_stats(name: str):
+def _piece_stats(name: str) -> list:
     """What a piece keeps of a feature: moments around its own mean, so digits are not lost."""
-    x, step = clean_number(name).cast("double"), F.col("_step").cast("double")
-    n = F.count(F.lit(1))
-    return F.struct(
-        F.avg(x).alias("mean"), (F.var_pop(x) * n).alias("spread"),
-        (F.covar_pop(x, step) * n).alias("trend"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.max_by(x, "_rn").alias("last"))
-
-
-def _window_stats(name: str, size: int) -> list:
-    """Merge the pieces' moments: each adds its own and those of its mean around the window's."""
-    f, zero = f"_f_{name}", F.lit(0.0)
-    mean = F.col(f"_mean_{name}")
-    middle = F.lit((size - 1) / 2)
-    start = F.struct(zero.alias("spread"), zero.alias("trend"), zero.alias("first"))
-
-    def add(total, part):
-        off = part[f]["mean"] - mean
-        # middle of the piece minus middle of the window, in rows
-        late = total["first"] + (part["n"] - 1) / F.lit(2.0) - middle
-        return F.struct(
-            (total["spread"] + part[f]["spread"] + part["n"] * off * off).alias("spread"),
-            (total["trend"] + part[f]["trend"] + part["n"] * off * late).alias("trend"),
-            (total["first"] + part["n"]).alias("first"))
-
-    merged = F.aggregate("pieces", start, add)
-    flat = F.lit(size * (size * size - 1) / 12.0)
-    return [
-        _last(f)["last"].alias(f"{name}_last"), mean.alias(f"{name}_mean"),
-        F.sqrt(merged["spread"] / F.nullif(F.lit(size - 1.0), zero)).alias(f"{name}_std"),
-        F.array_min(F.transform("pieces", lambda part: part[f]["min"])).alias(f"{name}_min"),
-        F.array_max(F.transform("pieces", lambda part: part[f]["max"])).alias(f"{name}_max"),
-        (merged["trend"] / F.nullif(flat, zero)).alias(f"{name}_slope")]
+    x, n = clean_number(name).cast("double"), F.count(F.lit(1))
+    return [F.avg(x).alias(f"_mean_{name}"), (F.var_pop(x) * n).alias(f"_spread_{name}"),
+            (F.covar_pop(x, F.col("_step")) * n).alias(f"_trend_{name}"),
+            F.min(x).alias(f"_min_{name}"), F.max(x).alias(f"_max_{name}"),
+            F.max_by(x, "_rn").alias(f"{name}_last")]
+
+
+def _frame_stats(name: str, pieces: Pieces) -> dict:
+    """Inside the pieces, and among the means of all equally long ones."""
+    out = {f"_spread_in_{name}": F.sum(f"_spread_{name}"),
+           f"_trend_in_{name}": F.sum(f"_trend_{name}"),
+           f"{name}_min": F.min(f"_min_{name}"), f"{name}_max": F.max(f"_max_{name}")}
+    for kind, _, _ in pieces.kinds:
+        mean = F.when(F.col("_piece") % pieces.per_stride == kind, F.col(f"_mean_{name}"))
+        out |= {f"_mean_{kind}_{name}": F.avg(mean), f"_var_{kind}_{name}": F.var_pop(mean),
+                f"_cov_{kind}_{name}": F.covar_pop(mean, F.col("_k"))}
+    return out
+
+
+def _window_stats(name: str, pieces: Pieces) -> list:
+    """Mean, deviation and slope: what varies inside pieces, among equally long pieces, and
+    between the two lengths adds up."""
+    size, zero = pieces.size, F.lit(0.0)
+    rows_of = {kind: float(n * times) for kind, n, times in pieces.kinds}
+    mean = sum((F.col(f"_mean_{kind}_{name}") * n for kind, n in rows_of.items()), zero) / size
+    spread, trend = F.col(f"_spread_in_{name}"), F.col(f"_trend_in_{name}")
+    for kind, n, times in pieces.kinds:
+        off = F.col(f"_mean_{kind}_{name}") - mean
+        # the middle row of all pieces of this length, counted from the window's middle row
+        first = 0 if kind == 0 else size % pieces.stride
+        late = first + (n - 1) / 2 + (times - 1) * pieces.stride / 2 - (size - 1) / 2
+        spread += rows_of[kind] * (F.col(f"_var_{kind}_{name}") + off * off)
+        trend += rows_of[kind] * (F.col(f"_cov_{kind}_{name}") * (
+            pieces.stride / pieces.per_stride) + off * late)
+    return [f"{name}_last", mean.alias(f"{name}_mean"),
+            F.sqrt(spread / F.nullif(F.lit(size - 1.0), zero)).alias(f"{name}_std"),
+            f"{name}_min", f"{name}_max",
+            (trend / F.nullif(F.lit(size * (size * size - 1) / 12.0), zero)).alias(
+                f"{name}_slope")]
 
 
 def window_summary(rows: DataFrame, names: Sequence[str], size: int, stride: int,
                    label: str = "label", rows_per_slice: int | None = None) -> DataFrame:
     """Per window and feature: last, mean, std, min, max and slope over the rows."""
-    windows = window_pieces(
+    pieces = window_pieces(
         rows.select("source_file", *time_order(rows), label, *names), size, stride,
-        F.max_by(label, "_rn").alias("label"), *[_piece_stats(n).alias(f"_f_{n}") for n in names],
+        F.max_by(label, "_rn").alias("label"), *[c for n in names for c in _piece_stats(n)],
         rows_per_slice=rows_per_slice)
-
-    def mean(name: str):
-        return F.aggregate("pieces", F.lit(0.0), lambda total, part: (
-            total + part["n"] * part[f"_f_{name}"]["mean"])) / F.lit(float(size))
-
-    described = windows.withColumns({f"_mean_{n}": mean(n) for n in names})
-    return described.select("source_file", "window_id", "n_rows", _last("label").alias("label"),
-                            *[c for n in names for c in _window_stats(n, size)])
+    merged = {key: c for n in names for key, c in _frame_stats(n, pieces).items()}
+    return pieces.windows(["label", *[f"{n}_last" for n in names]], **merged).select(
+        "source_file", "window_id", "n_rows", "label",
+        *[c for n in names for c in _window_stats(n, pieces)])
 
 
 def last_step(rows: DataFrame, names: Sequence[str], size: int, stride: int,
