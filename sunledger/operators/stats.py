@@ -12,7 +12,8 @@ from sunledger.session import settle
 from sunledger.sources.telemetry import time_order
 
 QUARTILES = (0.25, 0.5, 0.75)
-QUANTILE_CELLS = 4096
+#: accuracy of the rank sketch: ranks are off by at most 1 / SKETCH of the rows
+SKETCH = 10_000
 
 
 def fault_counts(rows: DataFrame) -> DataFrame:
@@ -53,63 +54,102 @@ def unpivot(df: DataFrame, names: Sequence[str], *keep) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def feature_stats(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min and max as one row per feature, from one aggregate."""
+def feature_stats(rows: DataFrame, names: Sequence[str],
+                  at: Sequence[float] = ()) -> DataFrame:
+    """count, mean, sample std, min and max as one row per feature, from one aggregate.
+
+    With ``at``, also ``sketch``: a rank sketch's values at these fractions.
+    """
     parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    if at:
+        wanted = F.array(*[F.lit(float(q)) for q in at])
+        parts["sketch"] = lambda x: F.percentile_approx(x, wanted, SKETCH)
     one = rows.agg(*[F.struct(*[f(F.col(n).cast("double")).alias(k) for k, f in parts.items()])
                      .alias(n) for n in names])
     cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("_s")) for n in names])
     return one.select(F.explode(cells).alias("_f")).select("_f.feature", "_f._s.*")
 
 
+def bracket_edges(fractions: Sequence[float]) -> list[float]:
+    """Where to read a sketch so that two neighbours enclose each fraction's rank.
+
+    The sketch's ranks are off by at most ``1 / SKETCH`` of the rows; twice that leaves room
+    for both ranks between which a quantile is interpolated.
+    """
+    off = 2 / SKETCH
+    return [edge for q in fractions for edge in (max(0.0, q - off), min(1.0, q + off))]
+
+
+def bracket_values(rows: DataFrame, brackets: dict) -> DataFrame:
+    """``(feature, fraction, value, _rows)`` of the values inside each bracket.
+
+    ``brackets`` maps (feature, fraction) to its lowest and highest value.  All rows below a
+    bracket are one row with a NULL value; rows above it are not looked at any further.
+    """
+    cells = []
+    for (name, q), (low, high) in brackets.items():
+        x = F.col(name).cast("double")
+        inside = F.when(x >= F.lit(low), x)
+        cells.append(F.when(x <= F.lit(high), F.struct(
+            F.lit(name).alias("feature"), F.lit(float(q)).alias("fraction"),
+            inside.alias("value"))))
+    return (rows.select(F.explode(F.array_compact(F.array(*cells))).alias("_c")).select("_c.*")
+            .groupBy("feature", "fraction", "value").agg(F.count(F.lit(1)).alias("_rows")))
+
+
 def exact_quantiles(rows: DataFrame, names: Sequence[str], stats: DataFrame,
                     fractions: Sequence[float]) -> DataFrame:
     """Linear-interpolated exact quantiles: ``(feature, fraction, value)``.
 
-    Values are first counted into equal-width cells; only the cells that hold a wanted
-    rank are then counted value by value, so no feature is sorted or held as a whole.
-    ``stats`` is the small table of ``feature_stats``.
+    ``stats`` is the table of ``feature_stats`` at ``bracket_edges(fractions)``.  Between the
+    two edges of a fraction lies at most a share of about ``6 / SKETCH`` of the feature's rows
+    (and ties), however the values are spread; these alone are counted value by value.  A rank
+    that its bracket does not hold would be looked for among all values.
     """
-    bounds = F.broadcast(stats.select("feature", F.col("count").alias("_n"),
-                                      F.col("min").alias("_lo"), F.col("max").alias("_hi")))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    cell = F.coalesce(F.least(F.floor((F.col("value") - F.col("_lo")) / width * QUANTILE_CELLS),
-                              F.lit(QUANTILE_CELLS - 1).cast("long")), F.lit(0).cast("long"))
-    celled = unpivot(rows, names).join(bounds, "feature").withColumn("_cell", cell)
-
-    # at most QUANTILE_CELLS rows per feature
-    along = Window.partitionBy("feature").orderBy("_cell")
-    per_cell = (celled.groupBy("feature", "_cell", "_n").agg(F.count(F.lit(1)).alias("_rows"))
-                .withColumn("_upto", F.sum("_rows").over(
-                    along.rowsBetween(Window.unboundedPreceding, 0)))
-                .withColumn("_from", F.col("_upto") - F.col("_rows")))
-    ranks = []
-    for q in fractions:
-        at = F.lit(float(q)) * (F.col("_n") - 1)
-        for take in (F.floor(at), F.ceil(at)):
-            ranks.append(F.struct(F.lit(float(q)).alias("fraction"), take.alias("_rank"),
-                                  at.alias("_at")))
-    wanted = (per_cell.withColumn("_w", F.explode(F.array(*ranks)))
-              .select("feature", "_cell", "_from", "_upto", "_w.*")
-              .where((F.col("_from") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))))
-    wanted, _ = counted(wanted)  # two ranks per feature and fraction
-
-    hit = celled.join(F.broadcast(wanted.select("feature", "_cell").distinct()),
-                      ["feature", "_cell"], "left_semi")
-    values = settle(hit.groupBy("feature", "_cell", "value").agg(F.count(F.lit(1)).alias("_rows")))
-    running = (prefix_sum(values, ["feature", "_cell"], ["value"], F.col("value"), "_rows", "_seen")
-               .join(F.broadcast(wanted), ["feature", "_cell"])
-               .withColumn("_seen", F.col("_seen") + F.col("_from")))
-    picked = running.where((F.col("_seen") > F.col("_rank"))
-                           & (F.col("_seen") - F.col("_rows") <= F.col("_rank")))
-    low, high = F.min("value"), F.max("value")
+    known = {r["feature"]: r for r in stats.collect() if r["count"]}  # one row per feature
+    spark, found = rows.sparkSession, []
+    ranks = {(name, q): q * (known[name]["count"] - 1)
+             for name in names if name in known for q in fractions}
+    edges = {(name, q): tuple(known[name]["sketch"][2 * i:2 * i + 2])
+             for name in names if name in known for i, q in enumerate(fractions)}
+    whole = {key: (known[key[0]]["min"], known[key[0]]["max"]) for key in edges}
+    for brackets in (edges, whole):
+        open_keys = [key for key in ranks if key not in {(r["feature"], r["fraction"])
+                                                         for r in found}]
+        if open_keys:
+            found += _values_at(rows, {key: brackets[key] for key in open_keys},
+                                {key: ranks[key] for key in open_keys})
+    return spark.createDataFrame([tuple(r) for r in found],
+                                 "feature string, fraction double, value double")
+
+
+def _values_at(rows: DataFrame, brackets: dict, ranks: dict) -> list:
+    """Values at the ranks that lie in their brackets; one row per feature and fraction."""
+    keys = ["feature", "fraction"]
+    values = settle(bracket_values(rows, brackets))
+    wanted = rows.sparkSession.createDataFrame(
+        [(name, float(q), float(at)) for (name, q), at in ranks.items()],
+        "feature string, fraction double, _at double")
+    below = F.broadcast(wanted.join(values.where(F.col("value").isNull()).select(
+        *keys, F.col("_rows").alias("_below")), keys, "left"))  # one row per feature and fraction
+    running = (prefix_sum(values.where(F.col("value").isNotNull()), keys, ["value"],
+                          F.col("value"), "_rows", "_seen")
+               .join(below, keys)
+               .withColumn("_seen", F.col("_seen") + F.coalesce("_below", F.lit(0))))
+    seen, before = F.col("_seen"), F.col("_seen") - F.col("_rows")
+
+    def value_at(rank):
+        return F.min(F.when((before <= rank) & (rank < seen), F.col("value")))
+
+    low, high = value_at(F.floor("_at")), value_at(F.ceil("_at"))
     weight = F.first(F.col("_at") - F.floor("_at"))
-    return picked.groupBy("feature", "fraction").agg((low + (high - low) * weight).alias("value"))
+    return (running.groupBy(*keys).agg((low + (high - low) * weight).alias("value"))
+            .where(F.col("value").isNotNull()).collect())
 
 
 def feature_describe(rows: DataFrame, names: Sequence[str], digits: int = 4) -> DataFrame:
     """count, mean, sample std, min, exact quartiles and max per feature, rounded."""
-    basic, _ = counted(feature_stats(rows, names))
+    basic, _ = counted(feature_stats(rows, names, bracket_edges(QUARTILES)))
     wide = exact_quantiles(rows, names, basic, QUARTILES).groupBy("feature").agg(*[
         F.max(F.when(F.col("fraction") == q, F.col("value"))).alias(f"q{int(q * 100)}")
         for q in QUARTILES])

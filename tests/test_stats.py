@@ -14,8 +14,8 @@ def test_describe_equals_pandas(spark, monkeypatch):
     rows = skewed_runs(spark).withColumn(
         "poa_global_wm2", F.when(F.col("event_id") % 9 > 0, F.col("poa_global_wm2")))
     want = rows.toPandas()[NAMES].astype(float).describe()
-    for cells in (4096, 3):
-        monkeypatch.setattr(X, "QUANTILE_CELLS", cells)
+    for accuracy in (10_000, 10):
+        monkeypatch.setattr(X, "SKETCH", accuracy)
         for r in X.feature_describe(rows, NAMES, digits=9).collect():
             got = [r[c] for c in ("count", "mean", "std", "min", "q25", "q50", "q75", "max")]
             np.testing.assert_allclose(got, want[r["feature"]], rtol=1e-8, atol=1e-8)
@@ -28,6 +28,32 @@ def test_describe_of_flat_and_empty_features(spark):
     assert got["none"]["count"] == 0 and got["none"]["q50"] is None
 
 
+@pytest.mark.parametrize("shape", ["outlier", "ties", "steps"])
+def test_brackets_hold_few_rows_however_values_are_spread(spark, monkeypatch, shape):
+    monkeypatch.setattr(X, "SKETCH", 1000)
+    noise = F.xxhash64("id") / F.lit(2.0 ** 40)
+    value = {"outlier": F.when(F.col("id") == 7, F.lit(1e12)).otherwise(noise / 2 ** 23),
+             "ties": F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(noise),
+             "steps": F.exp(F.col("id") / 3000.0)}[shape]
+    rows = X.settle(spark.range(60_000).repartition(7).select(value.alias("v")))
+    x = rows.toPandas().v
+    basic = X.feature_stats(rows, ["v"], X.bracket_edges(X.QUARTILES))
+    sketch = basic.first()["sketch"]
+    brackets = {("v", q): (sketch[2 * i], sketch[2 * i + 1]) for i, q in enumerate(X.QUARTILES)}
+    inside = X.bracket_values(rows, brackets).where("value is not null")
+    assert inside.groupBy("fraction").count().agg(F.max("count")).first()[0] < 60_000 * 8 / 1000
+    got = X.feature_describe(rows, ["v"], digits=9).first()
+    np.testing.assert_allclose([got["q25"], got["q50"], got["q75"]],
+                               [x.quantile(q) for q in X.QUARTILES], rtol=1e-9, atol=1e-8)
+
+
+def test_a_rank_outside_its_bracket_is_found_among_all_values(spark):
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    edges = F.array(*[F.lit(900.0), F.lit(950.0)])
+    stats = X.feature_stats(rows, ["v"]).withColumn("sketch", edges)
+    assert X.exact_quantiles(rows, ["v"], stats, [0.5]).first()["value"] == 499.5
+
+
 def test_histogram_equals_numpy(spark):
     rows = skewed_runs(spark).withColumn("flat", F.lit(1.0))
     frame = rows.toPandas()
