@@ -120,9 +120,10 @@ def benchmark_parts(benchmark: DataFrame, item_id: str, text: str,
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                        item_id: str = "item_id", item_text: str = "text",
                        part_bytes: int = PART_BYTES) -> DataFrame:
-    """The documents with ``_n_words``, ``_hit`` (spans of words), ``_items``, ``_spans``.
+    """The documents with ``_n_words``, ``_hit`` (numbers of the words hit) and ``_items``.
 
-    All columns and rows are kept.  A NULL or empty text has no words; repeated rows are
+    All rows and columns are kept, but a caller's columns of these three names are replaced;
+    ``drop_contaminated`` keeps those too.  A NULL or empty text has no words; repeated rows are
     scanned alike; items without words match nothing, a NULL item id counts as ''.  Words
     inside several windows count once; an item counts once however often it occurs.
     """
@@ -138,6 +139,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     return frame
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
+                      **options) -> DataFrame:
+    """The documents without any word hit; columns keep their names and values."""
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    found = find_contamination(docs.toDF(*own), benchmark, own[docs.columns.index(text)],
+                               **options)
+    return found.where(F.size("_hit") == 0).select(own).toDF(*docs.columns)
+
+
 def _scanner(sent: Broadcast, text: str, first: bool):
     name = uuid.uuid4().hex
 

@@ -313,15 +313,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one row of every class; NULL texts are all kept.
 
-    The row with the smallest (key, digest) of its class stays; of repeated rows one stays.
+    The row with the smallest (key, digest) of its class stays; of rows with the same key and
+    text the first by the JSON of their other columns.  Columns keep their names and values.
     """
+    names, own = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     classes = similar_classes(docs, key, text)
+    docs = docs.toDF(*own)
+    key, text = own[names.index(key)], own[names.index(text)]
+    others = [c for c in own if c not in (key, text)]
     best = classes.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min(F.struct(F.col("key").alias("_k"), F.col("digest").alias("_d"))).alias("w")
     ).select("w._k", "w._d")
     marked = docs.withColumn("_digest", F.md5(F.col(text).cast("binary")))
     same = marked[key].eqNullSafe(best["_k"]) & (marked["_digest"] == best["_d"])
     kept = marked.join(best, same, "left_semi")
+    rank = F.to_json(F.struct(*others)) if others else F.lit(0)
     one = kept.withColumn("_n", F.row_number().over(
-        Window.partitionBy(key, "_digest").orderBy(F.lit(0)))).where("_n = 1")
-    return one.select(docs.columns).union(docs.where(F.col(text).isNull()).select(docs.columns))
+        Window.partitionBy(key, "_digest").orderBy(rank))).where("_n = 1")
+    return one.select(own).union(docs.where(F.col(text).isNull())).toDF(*names)

@@ -10,6 +10,7 @@ words and votes that occur.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ SEED_WORDS = ("bastard", "clown", "disgusting", "idiot", "idiots", "imbecile", "
               "moron", "morons", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 #: bounds of the fit: labelled documents read for the lexicon (of each class), lexicon words
 LEXICON_DOCS, LEXICON_WORDS = 20_000, 256
+#: words of more bytes stand in the lexicon by their digest, so that it stays small
+LONG_WORD = 48
 #: patterns in one task of the classifier's fit, about 100 MB as vectors
 TASK_PATTERNS = 20_000
 SHARDS = 5
@@ -44,20 +47,31 @@ def words_of(text: str | None) -> bytes:
     return (text or "").encode().translate(_FLAT)
 
 
-def evidence(a: float, b: float, n_a: float, n_b: float) -> float:
+def word_keys(words: set[bytes]) -> set[bytes]:
+    """Words as the lexicon names them: one over ``LONG_WORD`` bytes by its digest."""
+    long = {w for w in words if len(w) > LONG_WORD}
+    return (words - long) | {b"#" + hashlib.md5(w).hexdigest().encode() for w in long}
+
+
+def evidence(a: Column, b: Column, n_a: float, n_b: float) -> Column:
     """Log-likelihood ratio of a word in a of n_a toxic and b of n_b other documents."""
-    def part(k: float, n: float, p: float) -> float:
-        return (k * np.log(p) if k else 0.0) + ((n - k) * np.log(1 - p) if n > k else 0.0)
-    p = min(max((a + b) / (n_a + n_b), 1e-12), 1 - 1e-12)
-    pa_, pb = (min(max(k / n, 1e-12), 1 - 1e-12) for k, n in ((a, n_a), (b, n_b)))
-    return 2 * (part(a, n_a, pa_) + part(b, n_b, pb) - part(a, n_a, p) - part(b, n_b, p))
+    def share(k: Column, n: float) -> Column:
+        return F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), k / F.lit(n)))
+
+    def part(k: Column, n: float, p: Column) -> Column:
+        return k * F.ln(p) + (F.lit(n) - k) * F.ln(1 - p)
+
+    p = share(a + b, n_a + n_b)
+    return 2 * (part(a, n_a, share(a, n_a)) + part(b, n_b, share(b, n_b))
+                - part(a, n_a, p) - part(b, n_b, p))
 
 
 def lexicon(docs: DataFrame, labels: DataFrame, train: Column, key: str, text: str,
             label: str) -> list[str]:
     """Words that labelled toxic documents use far more often than other labelled ones.
 
-    Read from at most ``LEXICON_DOCS`` training documents of each class, by hash of the id.
+    Read from at most ``LEXICON_DOCS`` training documents of each class, by hash of the id; all
+    their words are tested.
     """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_id")).agg(
         F.max(label).alias("_y"))
@@ -73,7 +87,7 @@ def lexicon(docs: DataFrame, labels: DataFrame, train: Column, key: str, text: s
             for piece in slices(batch, "_text"):
                 y, words = [], []
                 for t, mark in zip(piece["_text"].to_pylist(), piece["_y"].to_pylist()):
-                    own = {w for w in set(words_of(t).split()) if len(w) <= 48}
+                    own = word_keys(set(words_of(t).split()))
                     words += [w.decode("utf-8", "replace") for w in own] + [""]
                     y += [mark] * (len(own) + 1)
                 yield pa.RecordBatch.from_arrays(
@@ -88,11 +102,11 @@ def lexicon(docs: DataFrame, labels: DataFrame, train: Column, key: str, text: s
     # a word must be several times as frequent in toxic documents; few words pass
     tested = counts.where((F.col("w") != "") & (F.col("a") >= 3))
     n_tested = max(2, tested.count())
-    likely = tested.where(F.col("a") / n_a > 4 * F.col("b") / n_b).orderBy(
-        F.desc("a"), "w").limit(50 * LEXICON_WORDS).collect()
-    scored = sorted(((evidence(r["a"], r["b"], n_a, n_b), r["w"]) for r in likely), reverse=True)
+    likely = tested.where(F.col("a") / n_a > 4 * F.col("b") / n_b).withColumn(
+        "s", evidence(F.col("a").cast("double"), F.col("b").cast("double"), n_a, n_b))
     # about as much evidence as the best of so many words would show by chance
-    return [w for s, w in scored if s >= 2 * np.log(n_tested)][:LEXICON_WORDS]
+    strong = likely.where(F.col("s") >= 2 * float(np.log(n_tested)))
+    return [r["w"] for r in strong.orderBy(F.desc("s"), F.desc("w")).limit(LEXICON_WORDS).collect()]
 
 
 class Voters:
@@ -107,7 +121,7 @@ class Voters:
     def hits(self, text: str | None) -> tuple[list[int], list[int]]:
         """Lexicon words of the text, and the votes: 1 toxic, -1 clean, 0 no opinion."""
         flat = words_of(text)
-        present = set(flat.split())
+        present = word_keys(set(flat.split()))
         found = sorted(self.index[w] for w in present & self.index.keys())
         seeds = len(present & self.seeds)
         votes = [0] * N_VOTERS
@@ -118,8 +132,9 @@ class Voters:
         votes[SHARDS + 1] = 1 if n >= 2 else -1
         votes[SHARDS + 2] = -1 if not n and not seeds else 0
         votes[SHARDS + 3] = 1 if n >= 3 else 0
-        attack = _SECOND.search(b" " + flat) if b" are " in flat or b" is " in flat else None
-        votes[SHARDS + 4] = 1 if attack and attack[1] in self.seeds | self.index.keys() else 0
+        named = set(_SECOND.findall(b" " + flat)) if (
+            b" are " in flat or b" is " in flat) else set()
+        votes[SHARDS + 4] = 1 if word_keys(named) & (self.seeds | self.index.keys()) else 0
         return found, votes
 
     def vector(self, found: list[int], votes: list[int]) -> np.ndarray:

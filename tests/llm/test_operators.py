@@ -476,6 +476,59 @@ def test_toxicity_is_fitted_on_every_pattern(spark, monkeypatch):
     assert np.abs(near.scores(x) - model.scores(x)).max() < 0.02
 
 
+def test_every_word_is_tested_and_every_attack_is_read(spark):
+    """Common words that mark nothing do not crowd out rarer ones that do; long words count."""
+    long = "z" * 5000
+    rows = [(i, f"plain {'stuvwxyz'[i % 8]} text") for i in range(300)]
+    rows += [(300 + i, f"plain often{'abc'[i % 3]} " + (f"rare {long}" if i % 2 else "rare"))
+             for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i, _ in rows], "doc_id long, toxic int")
+    words = toxicity.lexicon(docs, labels, F.lit(True), "doc_id", "text", "toxic")
+    assert words[0] == "rare" and {"oftena", "oftenb", "oftenc"} <= set(words)
+    assert len(words) == 5 and max(map(len, words)) == 33
+    voters = toxicity.Voters(words)
+    assert len(voters.hits(f"{long} rare")[0]) == 2 and not voters.hits(long[1:])[0]
+    attack = toxicity.SHARDS + 4
+    said = {"You are kind. You are an idiot.": 1, "They are rare": 1, "You are kind": 0,
+            f"he is {long}": 1, "": 0, None: 0, "idiot": 0}
+    assert {t: voters.hits(t)[1][attack] for t in said} == said
+
+
+def test_evidence_equals_the_formula(spark):
+    table = [(3, 0), (5, 2), (40, 100), (7, 1)]
+    n_a, n_b = 40.0, 100.0
+    got = spark.createDataFrame(table, "a int, b int").select(
+        toxicity.evidence(F.col("a"), F.col("b"), n_a, n_b).alias("s")).collect()
+
+    def part(k, n, p):
+        return (k * np.log(p) if k else 0) + ((n - k) * np.log(1 - p) if n > k else 0)
+    for (a, b), r in zip(table, got):
+        p = (a + b) / (n_a + n_b)
+        want = 0 if p == 1 else 2 * (part(a, n_a, a / n_a) + part(b, n_b, b / n_b)
+                                     - part(a, n_a, p) - part(b, n_b, p))
+        assert abs(r["s"] - want) < 1e-6
+
+
+def test_stages_that_drop_rows_keep_clashing_columns_and_break_ties_by_value(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    schema = "_digest string, doc_id long, text string, _n int, _hit map<string,int>, c0 string"
+    rows = [("mine", 1, text, n, {"k": n}, "x") for n in (3, 1, 2)]
+    rows += [("other", 2, text + " twelve", 9, None, None), ("none", 3, None, 5, {}, ""),
+             ("else", 4, "nothing of the kind", 6, {"a": 0}, "y")]
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, schema).repartition(parts)
+        kept = near_dup.keep_one(frame)
+        assert kept.columns == frame.columns
+        assert sorted((r["_digest"], r["doc_id"], r["_n"], r["c0"]) for r in kept.collect()) == [
+            ("else", 4, 6, "y"), ("mine", 1, 1, "x"), ("none", 3, 5, "")]
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    clean = decontamination.drop_contaminated(frame, bench)
+    assert clean.columns == frame.columns and clean.schema == frame.schema
+    assert sorted((r["_digest"], r["_n"], r["_hit"]) for r in clean.collect()) == [
+        ("else", 6, {"a": 0}), ("none", 5, {})]
+
+
 def test_near_duplicates_report_nothing_that_depends_on_the_pairs_tried(spark):
     """Every text of a cloud is linked to all others; a count of the tried links would differ."""
     base = sentence(random.Random(12), 160).split(" ")
