@@ -10,11 +10,11 @@ Bytes are written as the characters U+0000 to U+00FF (``ISO-8859-1``), so that a
 bytes is a string, and decoding is the concatenation of the pieces of the ids.
 
 Spark folds each frequent distinct word once (a memo of bounded size, counted on the executors,
-that never changes a result).  Texts are then encoded in Arrow batches: split, looked up in the
-memo, and where a batch has a word beyond it, that word is merged once in the same order, a long
-one over linked pieces and a heap, so that a word of any length takes n log n steps.  (Folding those
-words with higher-order functions as well costs about 130 microseconds of CPU each.)  No text
-is shuffled.
+that never changes a result).  Texts are split and looked up in the memo in Arrow batches; a word
+beyond it is handed back to Spark, which folds the distinct ones of each text with the same
+higher-order functions and puts the ids together.  Only a word above ``HEAP_FROM`` bytes is merged
+in the batch, over linked pieces and a heap: a fold's rounds take time with the square of its length.
+No text is shuffled, and the driver holds the memo as Arrow bytes only.
 """
 
 from __future__ import annotations
@@ -47,16 +47,18 @@ HEAD_WORDS, HEAD_DOCS = 200_000, 20_000
 HEAD_BYTES = 64
 #: bytes above which a word is merged by a heap
 HEAP_FROM = 256
+#: bits of a byte's place in the fold's state
+START_BITS = 24
+
+
+def _ranked(data: bytes) -> dict[bytes, int]:
+    lines = (line.split() for line in data.splitlines() if line.strip())
+    return {base64.b64decode(piece): int(rank) for piece, rank in lines}
 
 
 def read_ranks(path: str) -> dict[str, int]:
     """Piece (bytes as ISO-8859-1 characters) -> rank, from a tiktoken rank file."""
-    ranks = {}
-    for line in Path(path).read_bytes().splitlines():
-        if line.strip():
-            piece, rank = line.split()
-            ranks[base64.b64decode(piece).decode("latin-1")] = int(rank)
-    return ranks
+    return {p.decode("latin-1"): r for p, r in _ranked(Path(path).read_bytes()).items()}
 
 
 def _buckets(n_keys: int) -> int:
@@ -113,45 +115,49 @@ def let(value: Column, body) -> Column:
 def fold_merges(word: Column, ranks: Column, n_ranks: int) -> Column:
     """Ids of one word given as ISO-8859-1 characters.
 
-    The state holds the pieces and the ranks of adjacent pairs; a round joins one pair.
+    The state holds a number per piece: the rank of the pair it begins, then its first byte, so
+    that the least number is the leftmost pair of lowest rank; a round joins one pair.
     """
-    rank = lambda piece: F.coalesce(look_up(ranks, piece, n_ranks), F.lit(NO_RANK))
-
-    def state(parts: Column, pairs: Column) -> Column:
-        return F.struct(parts.alias("parts"), pairs.alias("pairs"))
-
-    def start(w: Column) -> Column:
-        n = F.length(w)
-        return state(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(w, i, F.lit(1))),
-                     F.transform(F.sequence(F.lit(1), n - 1),
-                                 lambda i: rank(F.substring(w, i, F.lit(2)))))
-
-    def join(s: Column, at: Column) -> Column:
-        parts, pairs = s["parts"], s["pairs"]
-
-        def joined(new: Column) -> Column:
-            left = rank(F.concat(F.get(parts, at - 2), new))
-            right = rank(F.concat(new, F.get(parts, at + 1)))
-            return state(
-                F.transform(F.filter(parts, lambda _, i: i != at),
-                            lambda p, i: F.when(i == at - 1, new).otherwise(p)),
-                F.transform(F.filter(pairs, lambda _, i: i != at - 1),
-                            lambda r, i: F.when(i == at - 2, left).when(
-                                i == at - 1, right).otherwise(r)))
-        # filters and transforms here are far cheaper than concatenated slices
-        return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), joined)
-
-    def step(s: Column, _: Column) -> Column:
-        return let(F.array_min(s["pairs"]), lambda low: F.when(low < NO_RANK, let(
-            F.array_position(s["pairs"], low).cast("int"), lambda at: join(s, at))).otherwise(s))
-
     def folded(w: Column) -> Column:
-        rounds = F.sequence(F.lit(1), F.length(w) - 1)
-        return F.aggregate(rounds, start(w), step, lambda s: F.transform(
-            s["parts"], lambda p: look_up(ranks, p, n_ranks)))
+        size = F.length(w)
+
+        def piece(start: Column, end: Column) -> Column:
+            return look_up(ranks, F.substring(w, start + 1, end - start), n_ranks)
+
+        def state(rank: Column, start: Column) -> Column:
+            return F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)).cast("long"), START_BITS).bitwiseOR(
+                start.cast("long"))
+
+        def first(entry: Column) -> Column:
+            return F.coalesce(entry.bitwiseAND(F.lit((1 << START_BITS) - 1)).cast("int"), size)
 
-    whole = look_up(ranks, word, n_ranks)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(folded(word))
+        def join(s: Column, low: Column) -> Column:
+            def joined(at: Column) -> Column:
+                before, start = first(F.get(s, at - 2)), first(low)
+                end, after = first(F.get(s, at + 1)), first(F.get(s, at + 2))
+                new = F.struct(
+                    state(F.when(end < size, piece(start, after)), start).alias("pair"),
+                    F.when(at > 1, state(piece(before, end), before)).alias("left"))
+                return let(new, lambda n: F.transform(
+                    F.filter(s, lambda _, i: i != at),
+                    lambda e, i: F.when(i == at - 1, n["pair"]).when(
+                        i == at - 2, n["left"]).otherwise(e)))
+            return let(F.array_position(s, low).cast("int"), joined)
+
+        def step(s: Column, _: Column) -> Column:
+            return let(F.array_min(s), lambda low: F.when(
+                F.shiftright(low, START_BITS) < NO_RANK, join(s, low)).otherwise(s))
+
+        begin = F.transform(F.sequence(F.lit(0), size - 1), lambda i: state(
+            F.when(i < size - 1, piece(i, i + 2)), i))
+        return F.aggregate(F.sequence(F.lit(1), size - 1), begin, step, lambda s: F.transform(
+            s, lambda e, i: piece(first(e), first(F.get(s, i + 1)))))
+
+    def ids(w: Column) -> Column:
+        return let(look_up(ranks, w, n_ranks), lambda whole: F.when(
+            whole.isNotNull(), F.array(whole)).otherwise(folded(w)))
+
+    return let(word, ids)
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -211,7 +217,7 @@ def head_words(docs: DataFrame, literals: DataFrame, n_ranks: int, text: str = "
 
     They are counted in the documents of a share of all text digests that holds about
     ``n_docs``; only counts are shuffled.  The memo saves work and has no influence on any
-    result, since words outside of it are merged where they occur.
+    result, since words outside of it are folded alike, text by text.
     """
     share = max(1, docs.count() // n_docs)
     counted = docs.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0)
@@ -228,16 +234,49 @@ def _pattern(source: str):
     return regex.compile(source)
 
 
-def encode_words(words: list[str], memo: dict[str, list[int]], own: dict[str, list[int]],
-                 ranks: dict[bytes, int]) -> list[list[int]]:
-    """Ids of every word; those beyond the memo are merged once and kept in ``own``."""
+@lru_cache(maxsize=2)
+def _memo(folded: bytes, rank_file: bytes) -> tuple[dict[str, list[int]], dict[bytes, int]]:
+    """Ids of every piece that is a text and of the folded words, and all ranks."""
+    ranks = _ranked(rank_file)
+    memo = {w: [r] for p, r in ranks.items() if (w := _as_text(p)) is not None}
+    table = pa.ipc.open_stream(folded).read_all()
+    memo.update(zip(table["w"].to_pylist(), table["ids"].to_pylist()))
+    return memo, ranks
+
+
+def _arrow_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def known_runs(words: list[str], memo: dict[str, list[int]], ranks: dict[bytes, int]
+               ) -> tuple[list[list[int]], list[int], list[str]]:
+    """Ids between the words to fold, the number of the word after each but the last of these
+    runs, and those distinct words."""
     found = list(map(memo.get, words))
+    runs, order, rare, at = [], [], {}, 0
     for i in [i for i, ids in enumerate(found) if ids is None]:
-        word = words[i]
-        if word not in own:
-            own[word] = merge_word(word.encode(), ranks)
-        found[i] = own[word]
-    return found
+        data = words[i].encode()
+        if len(data) > HEAP_FROM:
+            found[i] = merge_word(data, ranks)
+            continue
+        runs.append(list(chain.from_iterable(found[at:i])))
+        order.append(rare.setdefault(words[i], len(rare)))
+        at = i + 1
+    runs.append(list(chain.from_iterable(found[at:] if at else found)))
+    return runs, order, list(rare)
+
+
+def _lists(parts: list[list], values: pa.Array) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
+def _integers(parts: list[list[int]]) -> pa.Array:
+    n = sum(map(len, parts))
+    return pa.array(np.fromiter(chain.from_iterable(parts), np.int32, n))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids",
@@ -248,33 +287,44 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids",
     kept (a column named like ``out`` is replaced).  Special strings are ordinary text.
     """
     spark, ranks = docs.sparkSession, read_ranks(path)
-    head = head_words(docs, stored_literals(spark, ranks), len(ranks), text, n_head)
-    by_bytes = {p.encode("latin-1"): r for p, r in ranks.items()}
-    memo = {w: [r] for p, r in by_bytes.items() if (w := _as_text(p)) is not None}
+    n_ranks, literals = len(ranks), stored_literals(spark, ranks)
     # at most n_head words of at most HEAD_BYTES
-    memo.update((r["w"], list(r["ids"])) for r in head.toLocalIterator())
-    sent = spark.sparkContext.broadcast((memo, by_bytes))
+    head = head_words(docs, literals, n_ranks, text, n_head).toArrow()
+    sent = spark.sparkContext.broadcast((_arrow_bytes(head), Path(path).read_bytes()))
     source = PATTERN.replace(_SPACE, r"\s")
-    read = unused("read", docs)
-    schema = docs.drop(out).schema.add(out, T.ArrayType(T.IntegerType()))
+    kept = [f for f in docs.schema.fields if f.name != out]
+    read, runs, order, rare = (unused(f"_{c}", docs) for c in ("read", "runs", "order", "rare"))
+    whole = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*kept, T.StructField(runs, T.ArrayType(whole)),
+                           T.StructField(order, whole),
+                           T.StructField(rare, T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pieces = sent.value
+        memo, by_bytes = _memo(*sent.value)
         split = _pattern(source).findall
         for batch in batches:
             for part in slices(batch, read):
-                own: dict[str, list[int]] = {}
-                ids, offsets = [], [0]
-                for value in part[read].to_pylist():
-                    ids.extend(chain.from_iterable(
-                        encode_words(split(value or ""), known, own, pieces)))
-                    offsets.append(len(ids))
-                columns = {c: part[c] for c in part.schema.names if c not in (read, out)}
-                columns[out] = pa.ListArray.from_arrays(
-                    pa.array(offsets, pa.int32()), pa.array(np.fromiter(ids, np.int32, len(ids))))
+                found = [known_runs(split(value or ""), memo, by_bytes)
+                         for value in part[read].to_pylist()]
+                between, after, words = ([f[k] for f in found] for k in range(3))
+                flat = list(chain.from_iterable(between))
+                columns = {f.name: part[f.name] for f in kept}
+                columns[runs] = _lists(between, _lists(flat, _integers(flat)))
+                columns[order] = _lists(after, _integers(after))
+                columns[rare] = _lists(words, pa.array(chain.from_iterable(words), pa.string()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("*", F.col(text).alias(read)).mapInArrow(run, schema)
+    split = docs.select(*[F.col(f"`{f.name}`") for f in kept],
+                        F.col(text).alias(read)).mapInArrow(run, schema)
+
+    def ids(held: Column) -> Column:
+        folded = F.transform(F.col(rare), lambda w: fold_merges(as_bytes(w), held["ranks"], n_ranks))
+        joined = let(folded, lambda words: F.flatten(F.zip_with(
+            F.col(runs), F.col(order), lambda ahead, i: F.when(i.isNull(), ahead).otherwise(
+                F.concat(ahead, F.get(words, i))))))
+        return F.when(F.size(rare) == 0, F.get(F.col(runs), F.lit(0))).otherwise(joined)
+
+    return with_scalar(split, literals.select("ranks"), out, ids).drop(runs, order, rare)
 
 
 def _as_text(piece: bytes) -> str | None:

@@ -364,6 +364,25 @@ def test_words_of_any_length_are_merged_like_the_library(spark):
             assert list(r["ids"]) == lib.encode_ordinary(r["text"])
 
 
+def test_words_beyond_the_memo_are_folded_by_spark(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    memo = {"a": [1], " b": [2, 3]}
+    assert byte_bpe.known_runs(["a", "qzxv", " b", " b", "qzxv", "wwq"], memo, ranks) == (
+        [[1], [2, 3, 2, 3], [], []], [0, 0, 1], ["qzxv", "wwq"])
+    assert byte_bpe.known_runs([], memo, ranks) == ([[]], [], [])
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                            special_tokens={})
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdeé日") for _ in range(rng.choice([2, 9, 30, 80, 120])))
+                      for _ in range(k)) for k in (0, 1, 1, 40, 300)] + [None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    encoded = byte_bpe.encode(docs, path, n_head=1)
+    assert "aggregate" in encoded._jdf.queryExecution().optimizedPlan().toString()
+    for r in encoded.collect():
+        assert list(r["ids"]) == lib.encode_ordinary(r["text"] or "")
+
+
 def test_higher_order_fold_equals_the_merges(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = byte_bpe.read_ranks(path)
