@@ -57,33 +57,46 @@ def save_load_manifest(spark, sf):
     return MF.manifest_round_trip(I.registry(spark, sf), scratch_path(spark, "manifest"))
 
 
+#: rows of run files that one task writes
+WRITTEN_ROWS = 20_000
+
+
 def _run_files(spark, sf):
-    """The rows written as run files, one folder a run, and the listed files."""
+    """The rows written as run files, one folder a run: the folder, its listed files, the schema.
+
+    Opening a file costs more than its rows, so the number of writers follows the rows: small
+    partitions are not put together.
+    """
     path = scratch_path(spark, "runs")
     rows = I.rows(spark, sf, extended=True)
-    rows.repartition("source_file").write.partitionBy("source_file").parquet(path)
-    schema = rows.drop("source_file").schema
-    return list_files(spark, path), spark.read.schema(schema).parquet(path), schema
+    writers = max(1, -(-rows.count() // WRITTEN_ROWS))
+    rows.repartition(writers, "source_file").write.partitionBy("source_file").parquet(path)
+    return path, list_files(spark, path), rows.drop("source_file").schema
+
+
+def _run_rows(spark, path, schema):
+    """The rows of written run files; their folders are listed once more."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def footer_row_counts(spark, sf):
     """Rows per run file, from footers alone."""
-    files, _, _ = _run_files(spark, sf)
+    _, files, _ = _run_files(spark, sf)
     run = F.regexp_extract("path", "source_file=([^/]*)/", 1)
     return FT.row_counts(FT.read_footers(files), run)
 
 
 def footer_constant_columns(spark, sf):
     """Constant columns of run files: footers first, a scan of what they leave open."""
-    files, rows, schema = _run_files(spark, sf)
-    return FT.constant_columns(files, rows, schema)
+    path, files, schema = _run_files(spark, sf)
+    return FT.constant_columns(files, _run_rows(spark, path, schema), schema)
 
 
 def footer_capacity(spark, sf):
     """Capacity by the largest DC power that the footers name."""
-    files, rows, schema = _run_files(spark, sf)
+    path, files, schema = _run_files(spark, sf)
     most = FT.highest(FT.column_bounds(FT.read_footers(files), schema), "dc_power_kw")
-    return X.estimate_capacity(rows if most is None else spark.range(1).select(
+    return X.estimate_capacity(_run_rows(spark, path, schema) if most is None else spark.range(1).select(
         F.lit(most).cast("float").alias("dc_power_kw")))
 
 

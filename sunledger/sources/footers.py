@@ -15,6 +15,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sunledger.operators import stats
+from sunledger.session import settle
 
 #: texts of this length may have been cut by the writer
 CUT_TEXT = 64
@@ -112,8 +113,9 @@ def column_bounds(footers: DataFrame, schema: T.StructType) -> dict[str, dict]:
     """Per column of ``schema``: rows of the batch, values, NULLs, and bounds over all files.
 
     A count or bound is None unless every file tells it; a file without the column counts as
-    NULLs.  One row per schema column comes to the driver.
+    NULLs.  One row per schema column comes to the driver.  The footers are read once.
     """
+    footers = settle(footers)
     files = footers.groupBy("path").agg(F.max("n_rows").alias("n")).agg(
         F.sum("n").alias("rows"), F.count_if(F.col("n").isNull()).alias("closed")).first()
     held = F.coalesce("n_values", F.lit(0).cast("long")) > 0

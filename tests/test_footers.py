@@ -115,3 +115,28 @@ def test_a_manifest_keeps_path_years_and_lookback(spark, tmp_path):
     short = entries.select(*manifest.ENTRY)
     manifest.save_manifest(short, str(tmp_path / "s"))
     assert manifest.load_manifest(spark, str(tmp_path / "s"))[0].columns == short.columns
+
+
+def test_run_files_are_written_by_as_many_tasks_as_their_rows_ask_for(spark, sf, monkeypatch):
+    from sunledger.catalog import inputs, queries
+    n_rows = inputs.rows(spark, sf).count()
+    monkeypatch.setattr(queries, "WRITTEN_ROWS", -(-n_rows // 5))
+    path, files, _ = queries._run_files(spark, sf)
+    tasks = files.select(F.regexp_extract("path", r"part-(\d+)-", 1)).distinct().count()
+    runs = inputs.rows(spark, sf).select("source_file").distinct().count()
+    assert tasks == 5 and files.count() == runs
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 256
+
+
+def test_bounds_read_every_footer_once(spark, batch_dir):
+    files = list_files(spark, batch_dir)
+    read = footers.read_footers(files)
+    counter = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+    watched = read.mapInArrow(note, read.schema)
+    footers.column_bounds(watched, spark.read.parquet(batch_dir).schema)
+    assert counter.value == read.count()
