@@ -228,3 +228,24 @@ def test_random_forest_query_runs_the_library_settings(spark, sf, monkeypatch):
     forest = P.random_forest(**MQ.random_forest(spark, sf).get("random_forest", {}))
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (
         200, 15, 20)
+
+
+def test_registry_parses_each_file_name_once(spark, sf):
+    from sunledger.catalog import inputs
+    from sunledger.operators.registry import assign_splits
+    plan = assign_splits(inputs.plain_registry(spark, sf))._jdf.queryExecution()
+    assert "events.parquet" not in plan.optimizedPlan().toString()
+    assert "regexp_replace" not in plan.optimizedPlan().toString()
+
+
+def test_queries_of_several_runs_share_their_inputs(spark, sf, monkeypatch):
+    made, given = [], []
+    monkeypatch.setattr(MQ, "_inputs", lambda *args: made.append(1) or (
+        "table", "files", {"scada": ["a"], "stress": ["b"]}))
+    monkeypatch.setattr(MQ.P, "run_task", lambda table, *args, **kw: given.append(table))
+    monkeypatch.setattr(MQ.ST, "compare_models", list)
+    monkeypatch.setattr(MQ, "_aucs", lambda result: result)
+    MQ.compare_models(spark, sf)
+    assert made == [1] and given == ["table", "table"]
+    MQ.deployment_model(spark, sf)
+    assert made == [1, 1]
