@@ -115,6 +115,73 @@ def test_batched_forest_keeps_its_model_and_its_deployment_twin(spark, data):
     assert ST.evaluate_saved(table, listing, P.CLASSIFICATION).aucs() == result.aucs()
 
 
+class _Watched:
+    """A forest estimator that notes the rows and trees of every fit."""
+
+    def __init__(self, seen, make, params):
+        self.seen, self.trees, self.made = seen, params["numTrees"], make(**params)
+
+    def fit(self, rows):
+        self.seen.append((self.trees, sorted(int(r[0][0]) for r in rows.select("features").collect())))
+        return self.made.fit(rows)
+
+
+def _batch_fits(spark, monkeypatch, sizes, n_rows, trees=6, **options):
+    """Fits of a batched forest over files of ``n_rows`` faulted rows; feature 0 numbers the rows."""
+    seen, make = [], P.random_forest
+    monkeypatch.setattr(P, "random_forest", lambda **params: _Watched(seen, make, params))
+    files = [(f"{kind}{i:02d}", kind) for kind, n in sizes.items() for i in range(n)]
+    rows = [(name, n_rows * at + i, 1.0 * (n_rows * at + i), kind, True)
+            for at, (name, kind) in enumerate(files) for i in range(n_rows)]
+    table = spark.createDataFrame(
+        rows, "source_file string, event_id long, a float, fault_type string, fault_active boolean")
+    entries = spark.createDataFrame(files, "source_file string, file_fault_type string")
+    task = P.open_task(table, P.CLASSIFICATION)
+    train = task.label_rows(table)
+    forest = P.batched_forest(train, train, entries, ["a"], task, num_trees=trees, maxDepth=2,
+                              minInstancesPerNode=1, **options)
+    return list(seen), len(rows), forest
+
+
+def test_batched_forest_fits_every_row_of_a_batch_above_the_limit(spark, monkeypatch):
+    fits, n_rows, forest = _batch_fits(spark, monkeypatch, {"x": 4, "y": 4}, 50,
+                                       files_per_batch=4, rows_per_batch=90)
+    assert sorted(i for _, rows in fits for i in rows) == list(range(n_rows))
+    # two batches of 200 rows, each dealt out to three pieces
+    assert [n for n, _ in fits] == [1] * 6 and all(30 < len(rows) < 110 for _, rows in fits)
+    assert forest.model.stages[-1].getNumTrees == 6
+    whole, _, _ = _batch_fits(spark, monkeypatch, {"x": 4, "y": 4}, 50, files_per_batch=4)
+    assert [(n, len(rows)) for n, rows in whole] == [(3, 200), (3, 200)]
+    few, _, _ = _batch_fits(spark, monkeypatch, {"x": 4, "y": 4}, 50, trees=2, files_per_batch=4,
+                            rows_per_batch=10)
+    assert len(few) == 2 and sorted(i for _, rows in few for i in rows) == list(range(n_rows))
+
+
+def test_batched_forest_fits_files_that_the_round_robin_leaves_out(spark, monkeypatch):
+    sizes = {"x": 9, "y": 1}
+    listed = R.class_balanced_batches(spark.createDataFrame(
+        [(f"{k}{i:02d}", k) for k, n in sizes.items() for i in range(n)],
+        "source_file string, file_fault_type string"), 5)
+    assert listed.select("source_file").distinct().count() < 10
+    fits, n_rows, _ = _batch_fits(spark, monkeypatch, sizes, 3, files_per_batch=5)
+    assert {i for _, rows in fits for i in rows} == set(range(n_rows))
+
+
+def test_batched_forest_query_trains_on_all_faulted_rows(spark, sf, monkeypatch):
+    table, files, _ = MQ._inputs(spark, sf)
+    held = files.where("split = 'train' and file_fault_type <> 'none'").select("source_file")
+    want = {r[0] for r in table.join(held, "source_file").where("fault_active")
+            .select("event_id").collect()}
+    got, grow = [], P.batched_forest
+
+    def noted(train, *args, **options):
+        got.extend(r[0] for r in train.select("event_id").collect())
+        return grow(train, *args, **options)
+    monkeypatch.setattr(P, "batched_forest", noted)
+    assert MQ.batched_forest(spark, sf).count() == 1
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_joined_forests_average_by_trees(spark):
     rows = spark.range(400).select((F.col("id") % 7 > 3).cast("double").alias("label"),
                                    (F.col("id") % 7).cast("double").alias("a"),
