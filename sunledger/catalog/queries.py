@@ -80,10 +80,10 @@ def _run_rows(spark, path, schema):
 
 
 def footer_row_counts(spark, sf):
-    """Rows per run file, from footers alone."""
-    _, files, _ = _run_files(spark, sf)
+    """Rows per run file, from footers; Spark counts files that Python cannot open."""
+    path, files, schema = _run_files(spark, sf)
     run = F.regexp_extract("path", "source_file=([^/]*)/", 1)
-    return FT.row_counts(FT.read_footers(files), run)
+    return FT.row_counts(FT.read_footers(files), run, lambda: _run_rows(spark, path, schema))
 
 
 def footer_constant_columns(spark, sf):

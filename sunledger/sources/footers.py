@@ -7,7 +7,7 @@ may be cut short, floats may hide NaN), the caller scans that column alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -28,7 +28,10 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 
 
 def open_footer(path: str) -> pq.FileMetaData | None:
-    """The footer of one file; None where its file system cannot be opened from Python."""
+    """The footer of one file; None where its file system cannot be opened from Python.
+
+    None is no result: callers leave the file to a scan by Spark.
+    """
     try:
         if path.startswith("file:"):
             system, inner = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
@@ -101,14 +104,40 @@ _ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in
                     (f.split() for f in FOOTER.split(", "))])
 
 
-def row_counts(footers: DataFrame, name: Column | None = None) -> DataFrame:
-    """``(source_file, n_rows)`` of every file that was opened."""
+def row_counts(footers: DataFrame, name: Column | None = None,
+               scan: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """``(source_file, n_rows)`` of every file that was opened.
+
+    With ``scan``, which gives the plain scan of the same files, it is every file: Spark counts
+    those that Python cannot open.  ``scan`` is called only if there are such files.
+    """
     named = F.element_at(F.split("path", "/"), -1) if name is None else name
-    return (footers.where(F.col("n_rows").isNotNull()).groupBy("path")
-            .agg(F.max("n_rows").alias("n_rows"))
+    counts = footers.groupBy("path").agg(F.max("n_rows").alias("n_rows"))
+    if scan is not None:
+        counts = settle(counts)
+        if not counts.where(F.col("n_rows").isNull()).isEmpty():
+            counts = _counted_by_scan(counts, scan())
+    return (counts.where(F.col("n_rows").isNotNull())
             .select(named.alias("source_file"), "n_rows"))
 
 
+def _counted_by_scan(counts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``counts`` with the scanned number of rows where a footer was not read.
+
+    A scan without columns reads footers alone.  A file that it does not name has no rows; one
+    that only the scan names would be lost, so it is an error.
+    """
+    # the scan escapes paths, the listing does not; a plus stands for itself in a path
+    escaped = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    found = rows.groupBy(F.url_decode(escaped).alias("path")).agg(
+        F.count(F.lit(1)).alias("_scanned"))
+    listed = counts.withColumn("_listed", F.lit(True))
+    lost = F.raise_error(F.concat(F.lit("scanned but not listed: "), "path")).cast("long")
+    return listed.join(found, "path", "full").select("path", F.when(
+        F.col("_listed").isNull(), lost).otherwise(
+        F.coalesce("n_rows", "_scanned", F.lit(0).cast("long"))).alias("n_rows"))
+
+
 def column_bounds(footers: DataFrame, schema: T.StructType) -> dict[str, dict]:
     """Per column of ``schema``: rows of the batch, values, NULLs, and bounds over all files.
 

@@ -1,6 +1,7 @@
 """Footer statistics against scans of the same files."""
 
 import math
+import uuid
 
 import pandas as pd
 import pyarrow as pa
@@ -86,6 +87,59 @@ def test_files_that_python_cannot_open_are_left_to_the_scan(spark, batch_dir):
         "whole"]["values"] == 0
 
 
+@pytest.fixture()
+def foreign_dir(spark, tmp_path):
+    """A folder by a path that Spark opens and Python does not."""
+    box = uuid.uuid4().hex
+    (tmp_path / "runs").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set(
+        f"fs.viewfs.mounttable.{box}.link./runs", f"file://{tmp_path}/runs")
+    return tmp_path / "runs", f"viewfs://{box}/runs"
+
+
+def test_rows_of_files_that_python_cannot_open_are_counted_by_spark(spark, foreign_dir):
+    local, foreign = foreign_dir
+    sizes = {"a b_noisy.parquet": 5, "c+d_noisy.parquet": 3, "e%20f_noisy.parquet": 2,
+             "none_noisy.parquet": 0}
+    for name, n in sizes.items():
+        pq.write_table(pa.table({"v": pa.array(range(n), pa.int64())}), local / name)
+    read = footers.read_footers(list_files(spark, foreign))
+    assert footers.open_footer(f"{foreign}/none_noisy.parquet") is None
+    scan = lambda: spark.read.schema("v long").parquet(foreign)
+    got = footers.row_counts(read, scan=scan).collect()
+    assert sorted(map(tuple, got)) == sorted(sizes.items())
+    # files of both kinds, each counted once
+    pq.write_table(pa.table({"v": pa.array([1], pa.int64())}), local / "g_noisy.parquet")
+    near = footers.read_footers(list_files(spark, str(local)).where("source_file like 'g%'"))
+    both = read.unionByName(near)
+    split = lambda: scan().where("_metadata.file_name not like 'g%'")
+    got = footers.row_counts(both, scan=split).collect()
+    assert sorted(map(tuple, got)) == sorted({**sizes, "g_noisy.parquet": 1}.items())
+
+
+def test_a_scan_of_other_files_is_an_error_and_none_is_made_without_need(spark, foreign_dir):
+    local, foreign = foreign_dir
+    for name in ("a_noisy.parquet", "b_noisy.parquet"):
+        pq.write_table(pa.table({"v": pa.array([1, 2], pa.int64())}), local / name)
+    scan = lambda: spark.read.schema("v long").parquet(foreign)
+    one = footers.read_footers(list_files(spark, foreign, "a_*"))
+    with pytest.raises(Exception, match="scanned but not listed"):
+        footers.row_counts(one, scan=scan).collect()
+
+    def never():
+        raise AssertionError
+    opened = footers.read_footers(list_files(spark, str(local)))
+    assert footers.row_counts(opened, scan=never).count() == 2
+
+
+def test_footer_row_counts_counts_runs_in_a_store_that_only_spark_reads(
+        spark, sf, foreign_dir, monkeypatch):
+    from sunledger.catalog import queries
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: f"{foreign_dir[1]}/{name}")
+    got = {tuple(r) for r in queries.footer_row_counts(spark, sf).collect()}
+    assert got == {tuple(r) for r in queries.file_row_counts(spark, sf).collect()} and got
+
+
 def test_opening_a_batch_scans_only_columns_that_footers_leave_open(spark, batch_dir, monkeypatch):
     scanned = []
     plain = stats.constant_columns
